@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op5_language_id
 from .simhash import op4_simhash_near_dedup
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_language_id": op5_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
