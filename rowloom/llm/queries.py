@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op5_language_id
+from .pii import op7_pii
+from .secret_scan import op3_secret_scan
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_secret_scan": op3_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op7_pii": op7_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
