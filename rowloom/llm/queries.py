@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op9_nearest_neighbours
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op5_language_id
+from .packing import op8_packing
 from .pii import op7_pii
 from .secret_scan import op3_secret_scan
 from .simhash import op4_simhash_near_dedup
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op7_pii": op7_pii,
+    "op8_packing": op8_packing,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
