@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op9_nearest_neighbours
+from .bpe import op6_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op5_language_id
 from .packing import op8_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_bpe": op6_bpe,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_nearest_neighbours": op9_nearest_neighbours,
