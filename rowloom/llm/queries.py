@@ -11,8 +11,10 @@ from .pii import op7_pii
 from .secret_scan import op3_secret_scan
 from .simhash import op4_simhash_near_dedup
 from .toxicity import op2_toxicity
+from .warc import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_warc_derivatives": OP1_SQL, "op10_exact_dedup": OP10_SQL}
