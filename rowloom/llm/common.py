@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A key is heavy if it holds more than one row in HEAVY_SHARE; so there are fewer than HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
@@ -21,16 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that lost executors cost nothing before it.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only a
-    session without one (as in tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the session's checkpoint folder, or a temporary one where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for rows with texts, which compress well and are read by column."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that lost executors cost nothing before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -39,12 +50,20 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """``fn`` over slices of a few MB of ``df``; the slices follow the bytes, so long texts make short slices."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit key of a row's id and text, never null; only rows that agree in both share it."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with a ``row_key`` in ``keys``; of rows that agree in id and text, one."""
+    own = docs.withColumn("_row_key", row_key(id_col, text_col))
+    return own.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
+    """``fn`` over slices of a few MB of ``df``; the slices follow the bytes, so long texts make short slices."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_on_unique, table
+from .common import cut, join_on_unique, only_rows, row_key, table
 
 #: The characters of [\x20\x09-\x0D]: they don't count in comparisons.
 BLANKS = " \n\t\x0b\x0c\r"
@@ -26,7 +26,7 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``row_key``.
 
     Texts are equal if they are the same without blanks.  The row with the most code
     points stays, then the one with the smallest id (null ids last); of rows that agree in
@@ -38,14 +38,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Where one hash stands for several texts, the rows of that hash are grouped by text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_chars"), normalised(F.col(text_col)).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_chars"), normalised(F.col(text_col)).alias("_text"), row_key(id_col, text_col).alias("row_key"))
     rows = rows.withColumn("_hash", hash_of(F.col("_text")))
-    facts = cut(rows.select("_id", "_chars", "_hash", F.sha2("_text", 256).alias("_sha"), F.lit("").alias("_sub")))
+    facts = cut(rows.select("_id", "_chars", "row_key", "_hash", F.sha2("_text", 256).alias("_sha"), F.lit("").alias("_sub")))
 
     texts = rows.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("_n"))
     clashes = cut(texts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_hash"))
     if not clashes.isEmpty():
-        apart = rows.join(clashes, "_hash", "left_semi").select("_id", "_chars", "_hash", F.sha2("_text", 256).alias("_sha"), F.col("_text").alias("_sub"))
+        apart = rows.join(clashes, "_hash", "left_semi").select("_id", "_chars", "row_key", "_hash", F.sha2("_text", 256).alias("_sha"), F.col("_text").alias("_sub"))
         facts = cut(facts.join(clashes, "_hash", "left_anti").unionByName(apart))
     facts = facts.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows are read from the checkpoint
 
@@ -58,11 +58,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "group_size",
         (F.col("_row") == F.col("_first.row")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        "row_key",
     )
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of equal texts."""
+    return only_rows(docs, exact_duplicates(docs, id_col, text_col).where("kept"), id_col, text_col)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key")
 
 
 OP10_SQL = """

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_on_unique, map_arrow, table
+from .common import cut, join_on_unique, map_arrow, row_key, table
 from .spans import SPAN, base_of, count_of, in_order, listed
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -141,7 +141,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
-    """Each row's id, ``text_md5`` and ``spans``, by kind and start; ends are exclusive, positions are code points.
+    """Each row's id, ``row_key`` and ``spans``, by kind and start; ends are exclusive, positions are code points.
 
     Null texts count as empty and have no spans.  Repeated rows and null ids keep their
     rows; other columns are ignored; an empty table gives an empty result.  A span of a
@@ -151,11 +151,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batch: pa.RecordBatch) -> dict:
         found = [examine(t) for t in batch.column(1).to_pylist()]
-        return {"id": batch.column(0), "text_md5": batch.column(2), "spans": [f[0] for f in found], "seen": [f[1] for f in found]}
+        return {"id": batch.column(0), "row_key": batch.column(2), "spans": [f[0] for f in found], "seen": [f[1] for f in found]}
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("text_md5"))
-    facts = cut(map_arrow(rows, run, f"id {kind}, text_md5 string, {FOUND}")).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
+    facts = cut(map_arrow(rows, run, f"id {kind}, row_key string, {FOUND}")).withColumn("row", F.monotonically_increasing_id())
     seen = patterns_of(facts.select("row", F.inline("seen")))
     found = cut(bootstrap(seen, **settings))
     matched = seen.where("kind = ''").drop("kind").join(found, ["pattern", "instance"]).select("row", "kind", "start", "end").distinct()
@@ -163,7 +163,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = matched.withColumn("r", first).where("r = 1").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
     joined = facts.drop("seen").join(more, "row", "left")
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(in_order(F.concat("spans", "more"), KINDS, True))
-    return joined.select(F.col("id").alias(id_col), "text_md5", spans.alias("spans"))
+    return joined.select(F.col("id").alias(id_col), "row_key", spans.alias("spans"))
 
 
 def masked(text: str, spans: list[dict]) -> str:
@@ -176,6 +176,24 @@ def masked(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
+def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """``docs`` with the kind of each span in place of it; ``chars_col`` gets the new number of code points.
+
+    Rows that agree in id and text have the same spans, so that one of them stands for all.
+    """
+    found = personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = [t if s is None else masked(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+        columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    own = docs.withColumn("row_key", row_key(id_col, text_col)).join(found, "row_key", "left").select(*names, "spans")
+    out = map_arrow(own, run, docs.schema)
+    return out if chars_col is None else out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(docs.schema[chars_col].dataType))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [count_of(F.col("spans"), k).alias(f"n_{k}") for k in KINDS]

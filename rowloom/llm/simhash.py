@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_on_unique, map_arrow, sorted_groups, table
+from .common import cut, join_on_unique, map_arrow, only_rows, row_key, sorted_groups, table
 from .components import components
 
 BITS = 64
@@ -53,14 +53,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(id, fp)``; ``fp`` is the fingerprint as a signed long."""
+    """``(id, row_key, fp)``; ``fp`` is the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
         fp = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return {"id": batch.column(0), "fp": pa.array(fp.view(np.int64))}
+        return {"id": batch.column(0), "row_key": batch.column(2), "fp": pa.array(fp.view(np.int64))}
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    return map_arrow(rows, run, f"id {kind}, row_key string, fp long")
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
@@ -209,7 +210,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id it reaches.
+    """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``, the smallest id it reaches, ``row_key``.
 
     Null, empty and blank texts have the fingerprint zero and link like any other.  Rows
     with a null id take part; ``component_id`` is null if no id of the component is known.
@@ -228,9 +229,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_node = cut(join_on_unique(nodes, linked, ["component"], "inner").select(F.col("node").alias("fp"), "component_id"))
     whole = distinct.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return join_on_unique(prints, cut(whole), ["fp"], "inner").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_key"
     )
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id; rows without a known id count by fingerprint."""
+    found = near_duplicates(docs, id_col, text_col, words, distance)
+    first = found.where(F.col("component_id").isNull() | (F.col("component_id") == F.col(id_col)))
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("print")]
+    return only_rows(docs, first.groupBy(*group).agg(F.min("row_key").alias("row_key")), id_col, text_col)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key")
