@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,35 +135,27 @@ def choose(rows: DataFrame, most: int) -> list[str]:
     return [r[0] for r in sums.select("f", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "f").limit(most).collect()]
 
 
-def train(rows: list[tuple[int, dict[int, float], dict[int, float] | None]], n: int, penalty: float = 1.0, l2: float = 1e-3, steps: int = 400, prior: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss, l2 * |w|^2 and penalty * (score - counterfactual score)^2 by Adam.
+Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    ``prior`` is added to the bias afterwards, as the sample has other class shares than the rows.
-    """
 
-    def sparse(items: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = [len(x) for x in items]
-        return np.repeat(np.arange(len(items)), sizes), np.array([i for x in items for i in x], np.int64), np.array([v for x in items for v in x.values()])
-
-    y = np.array([r[0] for r in rows], float)
-    row, col, val = sparse([r[1] for r in rows])
-    pairs = [i for i, r in enumerate(rows) if r[2] is not None]
-    diff = []
-    for i in pairs:
-        d = dict(rows[i][1])
-        for j, v in rows[i][2].items():
-            d[j] = d.get(j, 0.0) - v
-        diff.append(d)
-    drow, dcol, dval = sparse(diff)
+def train(y: np.ndarray, own: Sparse, diff: Sparse, n: int, penalty: float = 1.0, l2: float = 5e-2, steps: int = 400, prior: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam: log loss + l2 * mean |w|^2 + penalty * mean (score - counterfactual score)^2.
+
+    ``own`` holds row, feature and value of the documents, ``diff`` those of the
+    differences between documents and their twins.  ``prior`` is added to the bias
+    afterwards, as the sample has other class shares than the rows.
+    """
+    (row, col, val), (drow, dcol, dval) = own, diff
+    pairs = int(drow.max()) + 1 if len(drow) else 0
     w, b = np.zeros(n), 0.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, val * w[col], len(y)), -30, 30)))
         r = (p - y) / len(y)
-        g, gb = np.bincount(col, val * r[row], n) + 2 * l2 * w / max(1, n) * 50, r.sum()
+        g, gb = np.bincount(col, val * r[row], n) + 2 * l2 * w / max(1, n), r.sum()
         if pairs:
-            z = np.bincount(drow, dval * w[dcol], len(pairs))
-            g += 2 * penalty / len(pairs) * np.bincount(dcol, dval * z[drow], n)
+            z = np.bincount(drow, dval * w[dcol], pairs)
+            g += 2 * penalty / pairs * np.bincount(dcol, dval * z[drow], n)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w = w - 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -170,6 +163,12 @@ def train(rows: list[tuple[int, dict[int, float], dict[int, float] | None]], n:
     return w, float(b + prior)
 
 
+def sparse(at: pa.ChunkedArray, values: pa.ChunkedArray) -> Sparse:
+    """Row, feature and value from columns of lists; null and empty lists have no entries."""
+    sizes = pc.fill_null(pc.list_value_length(at), 0).to_numpy()
+    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(at).to_numpy().astype(np.int64), pc.list_flatten(values).to_numpy().astype(np.float64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, penalty: float = 1.0, swap: dict[str, str] | None = None) -> Model:
     """A model from at most about ``train_docs`` labelled documents of each class; without labels all scores are 0."""
     chosen, sizes = sample(docs, labels, id_col, text_col, label_col, train_docs)
@@ -181,34 +180,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(list(dict.fromkeys([*names, *swap])))
 
     def run(batch: pa.RecordBatch) -> dict:
-        own, twin = [], []
+        out: dict = {"toxic": batch.column(0), "i": [], "v": [], "di": [], "dv": []}
         for text in batch.column(1).to_pylist():
             counts = counted(text)
-            own.append(list(model.values(counts).items()))
-            other = swapped(counts, swap)
-            twin.append(None if other is None else list(model.values(other).items()))
-        return {"toxic": batch.column(0), "own": own, "twin": twin}
-
-    kind = "array<struct<i: int, v: double>>"
-    found = map_arrow_lists(rows, run, f"toxic int, own {kind}, twin {kind}")
-    items = [(r[0], {x["i"]: x["v"] for x in r[1]}, None if r[2] is None else {x["i"]: x["v"] for x in r[2]}) for r in found.collect()]  # bounded by the sample
-    seen = Counter(r[0] for r in items)
-    if not seen[1] or not seen[0]:
+            own, other = model.values(counts), swapped(counts, swap)
+            twin = own if other is None else model.values(other)
+            moved = {i: d for i in {*own, *twin} if (d := own.get(i, 0.0) - twin.get(i, 0.0))}
+            for at, values, of in (("i", "v", own), ("di", "dv", moved)):
+                out[at].append(list(of))
+                out[values].append(list(of.values()))
+        return out
+
+    found = map_arrow(rows, run, "toxic int, i array<int>, v array<float>, di array<int>, dv array<float>").toArrow()  # bounded by the sample
+    y = found.column("toxic").to_numpy().astype(np.float64)
+    seen = (len(y) - y.sum(), y.sum())
+    if not all(seen):
         return Model([], bias=40.0 if seen[1] else -40.0)
+    drow, dcol, dval = sparse(found.column("di"), found.column("dv"))
+    diff = (np.unique(drow, return_inverse=True)[1], dcol, dval)
     prior = np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))) - np.log(seen[1] / seen[0])
-    model.weights, model.bias = train(items, len(model.at), penalty, prior=float(prior))
+    model.weights, model.bias = train(y, sparse(found.column("i"), found.column("v")), diff, len(model.at), penalty, prior=float(prior))
     return model
 
 
-def map_arrow_lists(df: DataFrame, fn, schema: str) -> DataFrame:
-    """As ``map_arrow``, for columns of lists of pairs."""
-
-    def paired(batch: pa.RecordBatch) -> dict:
-        return {k: v if isinstance(v, pa.Array) else [None if x is None else [{"i": i, "v": w} for i, w in x] for x in v] for k, v in fn(batch).items()}
-
-    return map_arrow(df, paired, schema)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, score, predicted`` for every row of ``docs``, by its whole text.
 
