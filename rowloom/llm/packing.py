@@ -23,8 +23,8 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k"
 #: Hashed dimensions, dimensions of the curve, and bits of each.
 HASHED, DIMS, DEPTH = 64, 3, 10
-#: Documents from which the bounds of the ranges are taken; they decide how even the tasks are, not what is packed.
-BOUND_DOCS = 3000
+#: Documents of each range, and at most in all, from which the bounds are taken; they decide how even the tasks are, not what is packed.
+BOUND_DOCS, MOST_BOUND_DOCS = 100, 100_000
 #: Bits of the key below the curve's, filled from a hash of the id, so that equal documents can be dealt to several tasks.
 TIE_BITS = 32
 
@@ -129,13 +129,15 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, bounds:
 
 def range_bounds(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, parts: int) -> list[int]:
     """Keys that split a bounded sample of documents into ``parts`` ranges of like token counts."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(max(n, 1))) < BOUND_DOCS).limit(2 * BOUND_DOCS)
-    rows = np.array(encoded(some, id_col, text_col, tokenizer, []).select("key", F.length("ids").alias("n")).collect(), np.int64).reshape(-1, 2)
-    rows = rows[np.argsort(rows[:, 0])]
-    filled = np.cumsum(rows[:, 1])
-    at = np.searchsorted(filled, filled[-1] * np.arange(1, parts) / parts) if len(rows) else []
-    return [int(rows[i, 0]) for i in at]
+    n, most = docs.count(), min(BOUND_DOCS * parts, MOST_BOUND_DOCS)
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(max(n, 1))) < most).limit(2 * most)
+    rows = encoded(some, id_col, text_col, tokenizer, []).select("key", F.length("ids").alias("n")).toArrow()
+    if not rows.num_rows:
+        return []
+    keys, sizes = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(keys)
+    filled = np.cumsum(sizes[order], dtype=np.int64)
+    return keys[order][np.searchsorted(filled, filled[-1] * np.arange(1, parts) / parts)].tolist()
 
 
 def lay(rows: Iterator[tuple[object, np.ndarray]], size: int) -> Iterator[tuple[object, int, np.ndarray, int, int, int]]:
