@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """The bits in ``parts`` groups of near-equal size, correlated bits together."""
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     ones = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
     ones -= ones.mean(0)
     spread = np.sqrt((ones**2).sum(0))
