@@ -181,7 +181,7 @@ def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that agree in id and text have the same spans, so that one of them stands for all.
     """
-    found = personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select("row_key", "spans").dropDuplicates(["row_key"])
+    found = personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,7 +189,7 @@ def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
         columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    own = docs.withColumn("row_key", row_key(id_col, text_col)).join(found, "row_key", "left").select(*names, "spans")
+    own = docs.withColumn("_row_key", row_key(id_col, text_col)).join(found, "_row_key", "left").select(*names, "_spans")
     out = map_arrow(own, run, docs.schema)
     return out if chars_col is None else out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(docs.schema[chars_col].dataType))
 
