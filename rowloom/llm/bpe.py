@@ -9,11 +9,13 @@ until its ids agree with those of the chunks on either side.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,15 @@ from .common import map_arrow, slices, table
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees, and bits of it that are zero at a cut: chunks have about 2 ** CUT_BITS bytes.
 WINDOW, CUT_BITS = 32, 11
-#: Words, and bytes of chunks, that a Python worker remembers.
-MEMO_WORDS, MEMO_BYTES = 150_000, 48 << 20
+#: Words of a generation, and bytes of chunks, that a Python worker remembers.
+MEMO_WORDS, MEMO_BYTES = 120_000, 32 << 20
 #: Longest word that is remembered.
 LONGEST = 128
 
 #: Blanks at which a text can be taken apart: the tokenizer drops them, and no token crosses them.
 BLANK = re.compile("[ \n]")
+#: A special token of the tokenizer: it stands between words that are encoded together.
+MARK = "<|endoftext|>"
 GEAR = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -62,10 +66,31 @@ def place_of(text: str | None) -> int:
     return min((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks(text or "")), default=0)
 
 
+class Words(dict):
+    """Ids of words as bytes, in two generations: when the younger is full it becomes the older, which then goes."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.of, self.older = of, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            return self.of(word)
+        self[word] = found
+        return found
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+        self[""] = b""
+
+
 class Coder:
     """Encodes texts by chunks and decodes ids, with a bounded memory of words and chunks."""
 
     def __init__(self, name: str = TOKENIZER):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -74,48 +99,49 @@ class Coder:
         self.tokenizer.no_padding()
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers that join their tokens by blanks are decoded here")
-        self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.words: dict[str, tuple[list[int], str]] = {"": ([], "")}
-        self.chunks: dict[str, tuple[str, str, str, str, np.ndarray, str]] = {}
+        self.tokens = pa.array([self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
+        self.mark = self.tokenizer.token_to_id(MARK)
+        self.words = Words(self.whole)
+        self.chunks: dict[str, tuple[str, str, str, str, bytes]] = {}
         self.held = self.reused = self.repaired = 0
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.tokens.__getitem__, ids))
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words and len(w) <= LONGEST]
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.words = {"": ([], "")}
-            new = [w for w in words if w and len(w) <= LONGEST]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[w] = (e.ids, self.decode(e.ids))
-
-    def word(self, word: str) -> tuple[list[int], str]:
-        """A word's ids and their decoding; long words are not remembered."""
-        found = self.words.get(word)
-        if found is None:
-            ids = self.whole(word)
-            found = (ids, self.decode(ids))
-        return found
-
-    def joined(self, words: list[str]) -> tuple[np.ndarray, str]:
-        self.learn(set(words))
-        found = [self.word(w) for w in words if w]
-        ids = np.fromiter((i for f in found for i in f[0]), np.int32)
-        return ids, " ".join([f[1] for f in found if f[1]])
-
-    def chunk(self, chunk: str) -> tuple[str, str, str, str, np.ndarray, str]:
+    def whole(self, text: str) -> bytes:
+        """The ids of a text, as 32-bit numbers, straight from the tokenizer."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text that each list of ids stands for: its tokens between blanks."""
+        tokens = pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
+        return pc.binary_join(tokens, " ")
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the new words of ``texts`` at once, between marks that the tokenizer never merges with words."""
+        new: set[str] = set()
+        for text in texts:
+            if text:
+                new |= set(text.replace("\n", " ").split(" ")).difference(self.words)
+        some = [w for w in new if len(w) <= LONGEST and MARK not in w and w not in self.words.older]
+        if len(self.words) + len(some) > MEMO_WORDS:
+            self.words.age()
+        for at in range(0, len(some), 20_000):
+            words = some[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(words, (data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True))
+
+    def joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+    def chunk(self, chunk: str) -> tuple[str, str, str, str, bytes]:
         """The word before a chunk's first blank and the one after its last, the whole words next to them, and all between encoded."""
         found = self.chunks.get(chunk)
         if found is None:
-            words = BLANK.sub(" ", chunk).split(" ")
+            words = chunk.replace("\n", " ").split(" ")
             inner = words[1:-1]
-            full = [w for w in inner if w]
-            found = (words[0], words[-1], full[0] if full else "", full[-1] if full else "", *self.joined(inner))
-            size = 2 * len(chunk) + found[4].nbytes + len(found[5]) + 200
+            first, last = next(filter(None, inner), ""), next(filter(None, reversed(inner)), "")
+            found = (words[0], words[-1], first, last, self.joined(inner))
+            size = 2 * len(chunk) + len(found[4]) + 200
             if self.held + size > MEMO_BYTES:
                 self.chunks, self.held = {}, 0
             self.chunks[chunk] = found
@@ -126,35 +152,30 @@ class Coder:
 
     def agrees(self, before: str, joint: str, after: str) -> bool:
         """Whether the joint with a whole word on either side encodes to the ids of the three."""
-        self.learn({before, joint, after})
-        return self.whole(f"{before} {joint} {after}") == [i for w in (before, joint, after) for i in self.word(w)[0]]
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, str]:
-        """The ids of a text and their decoding."""
-        parts = chunks(text or "")
-        ids: list[np.ndarray] = []
-        said: list[str] = []
-        joint, before = "", ""
-        for i, part in enumerate(parts):
+        return self.whole(f"{before} {joint} {after}") == self.joined([before, joint, after])
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text, as 32-bit numbers."""
+        ids, joint, before = [], "", ""
+        for i, part in enumerate(chunks(text or "")):
             if not BLANK.search(part):  # no whole word ends here: the joint grows over this chunk
                 joint += part
                 continue
-            head, tail, first, last, inner, text_of = self.chunk(part)
+            head, tail, first, last, inner = self.chunk(part)
             joint += head
             if i and not self.agrees(before, joint, first):
-                own = self.whole(text)
-                return np.array(own, np.int32), self.decode(own)
+                return self.whole(text)
             self.repaired += i > 0
-            for found in (self.joined([joint]), (inner, text_of)):
-                if len(found[0]):
-                    ids.append(found[0])
-                    said.append(found[1])
+            ids += [self.words[joint], inner]
             joint, before = tail, last
-        found = self.joined([joint])
-        if len(found[0]):
-            ids.append(found[0])
-            said.append(found[1])
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), " ".join(said)
+        return b"".join([*ids, self.words[joint]])
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text, as lists."""
+        self.learn(texts)
+        found = [self.encode(t) for t in texts]
+        ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 _coders: dict[str, Coder] = {}
@@ -185,10 +206,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         own = coder(tokenizer)
         for batch in batches:
             for part in slices(batch, 1 << 20):
-                found = [own.encode(t) for t in part.column(1).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[0] for f in found])))
-                yield pa.RecordBatch.from_pydict({"id": part.column(0), "ids": ids, "decoded": pa.array([f[1] for f in found], pa.string())})
+                ids = own.encode_all(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "ids": ids, "decoded": own.decode(ids)})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dealt = map_arrow(rows, placed, f"id {kind}, text string, place long").hint("rebalance", "place")
