@@ -130,8 +130,9 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, bounds:
 def range_bounds(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, parts: int) -> list[int]:
     """Keys that split a bounded sample of documents into ``parts`` ranges of like token counts."""
     n, most = docs.count(), min(BOUND_DOCS * parts, MOST_BOUND_DOCS)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(max(n, 1))) < most).limit(2 * most)
-    rows = encoded(some, id_col, text_col, tokenizer, []).select("key", F.length("ids").alias("n")).toArrow()
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(max(n, 1))) < most)
+    sizes = encoded(some, id_col, text_col, tokenizer, []).select("key", F.length("ids").alias("n"))
+    rows = sizes.limit(2 * most).toArrow()  # the limit gathers keys and lengths, not texts
     if not rows.num_rows:
         return []
     keys, sizes = rows.column("key").to_numpy(), rows.column("n").to_numpy()
