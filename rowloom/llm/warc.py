@@ -1,18 +1,27 @@
 """WARC derivatives: a metadata and a plain-text conversion record for each response.
 
-Everything is a DataFrame expression, so the work stays in one scan without a shuffle.
+The work stays in one scan without a shuffle: DataFrame expressions, and one Arrow map
+that takes the tags off and decodes all character references, named or numeric.
 """
 
 from __future__ import annotations
 
+import html
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 #: Parts of a page that are no text, and tags that end a line.
 HIDDEN = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<head\b.*?</head\s*>"]
 LINE = r"(?i)<(/?(p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|body|html)\b[^>]*|br\s*/?)>"
+TAG = re.compile("<[^>]*>")
+#: References to blanks, which become plain blanks: no-break space, tab, line feed, form feed, carriage return, space.
+BLANK = re.compile(r"&(?:nbsp;?|NonBreakingSpace;|Tab;|NewLine;|#0*(?:9|10|12|13|32|160)(?:;|(?![0-9]))|#[xX]0*(?:9|[aAcCdD]|20|[aA]0)(?:;|(?![0-9a-fA-F])))")
+#: What the SQL decodes; it knows no other references, so that its conversion blocks differ where a page has some.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
@@ -22,17 +31,24 @@ def uuid_of(key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: hidden parts go, tags of blocks end lines, blanks are single."""
-    out = html
+def visible(page: Column) -> Column:
+    """A page without its hidden parts; tags of blocks are line ends, blanks are single."""
+    out = page
     for pattern in HIDDEN:
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"\s+", " ")
-    out = F.regexp_replace(out, LINE, "\n")
-    out = F.regexp_replace(out, "<[^>]*>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, "[ \n]*\n[ \n]*", "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), LINE, "\n")
+
+
+def decoded(text: str) -> str:
+    """``text`` without tags and with all references decoded, by the rules of HTML 5; no reference goes across a tag."""
+    if "&" not in text:
+        return TAG.sub("", text)
+    return "".join([html.unescape(BLANK.sub(" ", part)) for part in TAG.split(text)])
+
+
+def tidy(text: Column) -> Column:
+    """Blanks are single, lines neither begin nor end with one, and none is empty."""
+    out = F.regexp_replace(text, "[ \n]*\n[ \n]*", "\n")
     return F.trim(F.regexp_replace(out, " +", " "), F.lit(" \n"))
 
 
@@ -66,10 +82,16 @@ def derivatives(records: DataFrame) -> DataFrame:
     links = F.size(F.regexp_extract_all(payload, F.lit(r"(?i)(<a\s[^>]*href=)"), 1)).cast("string")
     metadata = F.concat(F.col("headers"), F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\noutlinks: "), links, F.lit("\r\n"))
     kinds = F.array(
-        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload).alias("block")),
+        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.col("metadata").alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), tidy(F.col("text")).alias("block")),
     )
-    rows = records.select("source_id", "record_id", "target_uri", digest(payload).alias("refers_to_digest"), F.inline(kinds))
+    found = records.select("source_id", "record_id", "target_uri", digest(payload).alias("refers_to_digest"), metadata.alias("metadata"), visible(payload).alias("text"))
+    names = found.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([t if t is None else decoded(t) for t in batch.column(len(names) - 1).to_pylist()], pa.string())], names)
+
+    rows = map_arrow(found, run, found.schema).select("source_id", "record_id", "target_uri", "refers_to_digest", F.inline(kinds))
     return rows.select(
         "source_id",
         "record_type",
