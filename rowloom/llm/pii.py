@@ -1,9 +1,10 @@
 """Personal data: fixed forms, and what the contexts of these forms lead to.
 
 Spans of the fixed forms are the seeds.  The words beside them are lexical patterns.
-Spark scores the graph of patterns and instances in rounds: a pattern by the share of its
-instances that are seeds or already trusted, an instance by its patterns.  Patterns of
-high confidence find identifiers that have none of the fixed forms.
+Spark scores the graph of patterns and instances in rounds, until none is added: a pattern
+by the seeds and trusted instances that speak for its kind against those of other kinds and
+those that don't have the kind's shape, an instance by its patterns.  So identifiers are
+found that have none of the fixed forms, and they lead to further patterns.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, join_on_unique, map_arrow, row_key, table
 from .spans import SPAN, base_of, count_of, in_order, listed
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS = 2
-#: A pattern counts if so many different seeds have it, and finds things from that confidence on; an instance needs that score.
+#: A pattern counts if so many different seeds or trusted instances have it, and finds things alone from that confidence on; an instance needs that score.
 SUPPORT, CONFIDENCE, TRUST = 5, 0.9, 0.9
+#: A pattern adds to others from that confidence on; an unknown instance of the right shape is so much of a counter-example, as it may be something else.
+WEAK, UNKNOWN = 0.5, 0.1
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -31,6 +33,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 EDGES = "\"'()[]{}<>,;:!?.|*#$%&"
 WORD = re.compile(r"[^\W\d_]+")
+#: An address in numbers, also of other forms than four decimal ones.
+NUMBERS = re.compile(r"[0-9A-Fa-f]*+(?:[.:]++[0-9A-Fa-f]++){2,}+(?:[/%]\w++)?")
 #: Longest token, and the reach of the words beside it.
 LONGEST, REACH = 64, 40
 
@@ -95,7 +99,14 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
-FOUND = f"spans array<{SPAN}>, seen array<struct<kind: string, start: long, end: long, instance: string, left: string, right: string>>"
+def fits(instance: str) -> int:
+    """A bit for each of KINDS whose shape, more loosely than the fixed form, an instance has."""
+    digits, plain = sum(map(str.isdigit, instance)), not any(c.isalpha() or c == "@" for c in instance)
+    shapes = ["@" in instance, NUMBERS.fullmatch(instance) is not None, plain and 12 <= digits <= 19, plain and 6 <= digits <= 15]
+    return sum(1 << i for i, fit in enumerate(shapes) if fit)
+
+
+FOUND = f"spans array<{SPAN}>, seen array<struct<kind: string, start: long, end: long, instance: string, fits: int, left: string, right: string>>"
 
 
 def examine(text: str | None) -> tuple[list[dict], list[dict]]:
@@ -106,7 +117,7 @@ def examine(text: str | None) -> tuple[list[dict], list[dict]]:
     for kind, start, end in [*base, *(("", *c) for c in candidates(text, base))]:
         left, right = beside(text, start, end)
         if left or right:
-            seen.append({"kind": kind, "start": start, "end": end, "instance": text[start:end], "left": left, "right": right})
+            seen.append({"kind": kind, "start": start, "end": end, "instance": text[start:end], "fits": 0 if kind else fits(text[start:end]), "left": left, "right": right})
     return [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base], seen
 
 
@@ -120,24 +131,48 @@ def patterns_of(seen: DataFrame) -> DataFrame:
     return seen.withColumn("pattern", F.explode(F.filter(both, lambda p: p.isNotNull())))
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> DataFrame:
-    """``(pattern, instance, kind)`` that the patterns of high confidence have found, from sightings with ``pattern``."""
-    edges = cut(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    all_of = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
-    seeds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    known = cut(seeds.join(all_of, "pattern").select("pattern", "kind", "seeds", "all"))
-    open_edges = cut(edges.where("kind = ''").select("pattern", "instance").join(known.select("pattern").distinct(), "pattern", "left_semi"))
-    gained = None
-    for _ in range(rounds):
-        scored = known.withColumn("more", F.lit(0.0)) if gained is None else known.join(gained, ["pattern", "kind"], "left").fillna(0.0, ["more"])
-        sure = scored.withColumn("sure", (F.col("seeds") + F.col("more")) / (F.col("all") + 1)).where(F.col("sure") >= confidence)
-        best = cut(sure.groupBy("pattern").agg(F.max(F.struct("sure", "kind")).alias("b")).select("pattern", "b.sure", "b.kind"))
-        held = join_on_unique(open_edges, best, ["pattern"], "inner")
-        doubt = held.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("sure"), F.lit(0.999)))))).alias("score"))
-        first = F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("score"), "kind"))
-        trusted = cut(doubt.withColumn("r", first).where((F.col("r") == 1) & (F.col("score") >= trust)).select("instance", "kind", "score"))
-        gained = cut(join_on_unique(open_edges, trusted, ["instance"], "inner").groupBy("pattern", "kind").agg(F.sum("score").alias("more")))
-    return join_on_unique(held.select("pattern", "instance"), trusted.select("instance", "kind"), ["instance"], "inner")
+def confidence_of(known: DataFrame, support: int) -> DataFrame:
+    """``(pattern, sure, kind)``: the likeliest kind of each pattern, from its counts of seeds, unknown and trusted instances."""
+    c, sure = F.col, []
+    for k in KINDS:
+        pro = c(f"seeds_{k}") + c(f"score_{k}")
+        others = c("seeds") - c(f"seeds_{k}") + c("trusted") - c(f"trusted_{k}")
+        misfits = c("open") - c(f"open_{k}") - (c("trusted") - c(f"fit_{k}"))
+        unknown = c(f"open_{k}") - c(f"fit_{k}")
+        sure.append(F.when(c(f"seeds_{k}") + c(f"trusted_{k}") >= support, F.struct((pro / (pro + others + misfits + UNKNOWN * unknown + 1)).alias("sure"), F.lit(k).alias("kind"))))
+    return known.select("pattern", F.array_max(F.array(*sure)).alias("b")).where(F.col("b").isNotNull()).select("pattern", "b.sure", "b.kind")
+
+
+def bootstrap(seen: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, trust: float = TRUST) -> DataFrame:
+    """``(instance, kind)`` of what the patterns have found, from sightings with ``pattern``; rounds end when one adds nothing."""
+    edges = cut(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits")))
+    bits = {k: F.col("fits").bitwiseAND(1 << i) != 0 for i, k in enumerate(KINDS)}
+    counted = [F.count_if(F.col("kind") != "").alias("seeds"), F.count_if(F.col("kind") == "").alias("open")]
+    counted += [x for k in KINDS for x in (F.count_if(F.col("kind") == k).alias(f"seeds_{k}"), F.count_if((F.col("kind") == "") & bits[k]).alias(f"open_{k}"))]
+    known = cut(edges.groupBy("pattern").agg(*counted))
+    open_edges = edges.where("kind = ''").select("pattern", "instance", "fits")
+    gains = [F.count(F.lit(1)).alias("trusted")]
+    gains += [x for k in KINDS for x in (F.count_if(F.col("kind") == k).alias(f"trusted_{k}"), F.count_if(bits[k]).alias(f"fit_{k}"), F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"score_{k}"))]
+    trusted = open_edges.limit(0).select("instance", F.lit("").alias("kind"), F.lit(0.0).alias("score"))
+    gained = open_edges.limit(0).withColumns({"kind": F.lit(""), "score": F.lit(0.0)}).groupBy("pattern").agg(*gains)
+    while True:
+        best = cut(confidence_of(known.join(gained, "pattern", "left").fillna(0, gained.columns[1:]), support).where(F.col("sure") >= min(WEAK, confidence)))
+        if best.isEmpty():
+            break
+        held = join_on_unique(open_edges, best, ["pattern"], "inner").where((F.col("sure") >= confidence) | F.coalesce(*[F.when(F.col("kind") == k, fit) for k, fit in bits.items()]))
+        # the words of both sides are evidence of their own; a pattern of both words has no more than they
+        doubt, both = F.log1p(-F.least(F.col("sure"), F.lit(0.999))), F.col("pattern").startswith("B ")
+        scored = held.groupBy("instance", "kind").agg(F.max("sure").alias("sure"), F.sum(F.when(both, doubt).otherwise(0.0)).alias("pairs"), F.sum(F.when(both, 0.0).otherwise(doubt)).alias("sides"))
+        scored = scored.withColumn("added", 1 - F.exp(F.least("pairs", "sides"))).withColumn("score", F.greatest("sure", "added"))
+        enough = scored.where((F.col("score") >= trust) & ((F.col("sure") >= confidence) | (F.col("added") > F.col("sure") + 1e-9)))
+        first = enough.groupBy("instance").agg(F.min(F.struct((-F.col("score")).alias("less"), "kind")).alias("f")).select("instance", "f.kind", (-F.col("f.less")).alias("score"))
+        new = cut(first.join(trusted, "instance", "left_anti"))
+        if new.isEmpty():
+            break
+        trusted = cut(trusted.unionByName(new))
+        more = join_on_unique(open_edges, new, ["instance"], "inner").groupBy("pattern").agg(*gains)
+        gained = cut(gained.unionByName(more).groupBy("pattern").agg(*[F.sum(n).alias(n) for n in gained.columns[1:]]))
+    return trusted.select("instance", "kind")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
@@ -145,7 +180,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts count as empty and have no spans.  Repeated rows and null ids keep their
     rows; other columns are ignored; an empty table gives an empty result.  A span of a
-    fixed form has ``base`` true; those that patterns found bear the kind of their pattern.
+    fixed form has ``base`` true; those that patterns found bear the kind of their patterns, and
+    count wherever they have a word beside them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -156,11 +192,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
     facts = cut(map_arrow(rows, run, f"id {kind}, row_key string, {FOUND}")).withColumn("row", F.monotonically_increasing_id())
-    seen = patterns_of(facts.select("row", F.inline("seen")))
-    found = cut(bootstrap(seen, **settings))
-    matched = seen.where("kind = ''").drop("kind").join(found, ["pattern", "instance"]).select("row", "kind", "start", "end").distinct()
-    first = F.row_number().over(Window.partitionBy("row", "start").orderBy("kind"))
-    more = matched.withColumn("r", first).where("r = 1").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
+    seen = facts.select("row", F.inline("seen"))
+    found = bootstrap(patterns_of(seen), **settings)
+    matched = join_on_unique(seen.where("kind = ''").drop("kind"), found, ["instance"], "inner")
+    more = matched.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
     joined = facts.drop("seen").join(more, "row", "left")
     spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(in_order(F.concat("spans", "more"), KINDS, True))
     return joined.select(F.col("id").alias(id_col), "row_key", spans.alias("spans"))

@@ -113,6 +113,30 @@ def test_patterns_find_what_has_no_fixed_form(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_patterns_with_many_unseen_instances(spark):
+    rng = random.Random(6)
+    phone = lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}"
+    plain = lambda: f"555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    shared = [plain() for _ in range(20)]
+    texts = [f"please ring {phone()} today or later" for _ in range(40)] + [f"please ring {x} today or later" for x in shared]
+    near = len(texts)
+    texts += [f"fax {x} evenings" for x in shared[:12]] + [f"fax {plain()} evenings" for _ in range(2)]  # a context without seeds
+    weak = len(texts)
+    texts += [f"call {phone()} w{'abcdefghij'[i]}" for i in range(10)] + [f"call {x}@y.de {y}" for x, y in zip("abc", "uvw", strict=True)]
+    texts += [f"v{'abcdefghij'[i]} {phone()} soon" for i in range(10)] + [f"{y} {x}@z.de soon" for x, y in zip("abc", "uvw", strict=True)]
+    both, one = len(texts), len(texts) + 1
+    texts += ["call 555-123-4567 soon", "call 555-123-9999 xyz"]  # two patterns of 10 / 14 to 10 / 14.2, and one
+    clean = len(texts)
+    texts += [f"invoice {rng.randrange(10**6, 10**7)} was paid" for _ in range(40)]
+    texts += [f"since {phone()} a" for _ in range(10)] + [f"since {rng.randrange(10, 28)}.{rng.randrange(10, 12)}.{y} b" for y in range(1800, 2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r[0]: [(s["kind"], s["base"]) for s in r[1]] for r in pii.personal_data(docs).select("doc_id", "spans").collect()}
+    assert all(kinds[i] == [("phone", i < 40)] for i in range(60))
+    assert all(kinds[i] == [("phone", False)] for i in range(near, weak))
+    assert kinds[both] == [("phone", False)] and kinds[one] == []
+    assert not any(kinds[i] for i in range(clean, clean + 40)) and not any(kinds[i] for i in range(clean + 50, len(texts)))
+
+
 def test_masked():
     spans = [{"kind": "email", "start": 2, "end": 5}, {"kind": "phone", "start": 4, "end": 7}]
     assert pii.masked("ab12345cd", spans) == "ab[EMAIL]cd"
