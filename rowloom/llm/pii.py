@@ -10,6 +10,7 @@ found that have none of the fixed forms, and they lead to further patterns.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may be an identifier: a token with a digit or an at sign between blanks.
+#: What may be an identifier: groups of digits joined by single blanks, brackets or hyphens, or a token with a digit or an at sign between blanks.
+GROUPS = re.compile(r"(?<![^\s\"'\[{<,;:!?|*#$%&])(?:[+(]\(?)?\d++(?:(?:\)[\x20-]?|[\x20-]\(?|\()\d++)+\)?(?![^\s\"'\]}>,;:!?.|*#$%&)]|[.,:]\d)")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 EDGES = "\"'()[]{}<>,;:!?.|*#$%&"
 WORD = re.compile(r"[^\W\d_]+")
 #: An address in numbers, also of other forms than four decimal ones.
 NUMBERS = re.compile(r"[0-9A-Fa-f]*+(?:[.:]++[0-9A-Fa-f]++){2,}+(?:[/%]\w++)?")
-#: Longest token, and the reach of the words beside it.
-LONGEST, REACH = 64, 40
+#: The reach of the words beside an instance.
+REACH = 40
 
 
 def luhn(digits: str) -> bool:
@@ -84,19 +86,35 @@ def beside(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit or an at sign that no span of ``taken`` touches."""
-    out, at, busy = [], 0, sorted((s, e) for _, s, e in taken)
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
-        while at < len(busy) and busy[at][1] <= start:
-            at += 1
-        if at < len(busy) and busy[at][0] < end:
-            continue
-        inner = m[0].strip(EDGES)
-        if 6 <= len(inner) <= LONGEST and sum(c.isdigit() for c in inner) >= 4:
-            start += m[0].index(inner)
-            out.append((start, start + len(inner)))
-    return out
+    """Groups of digits, and tokens with four digits or an at sign, that no span of ``taken`` touches, by start.
+
+    Groups that are joined are one candidate; what a token has besides them is another.
+    """
+    busy = sorted((s, e) for _, s, e in taken)
+    out = [m.span() for a, b in between(text, busy) for m in GROUPS.finditer(text, a, b) if (" " in m[0] or "(" in m[0]) and sum(map(str.isdigit, m[0])) >= 4]
+    at = 0
+    for a, b in between(text, out[:]):
+        for m in TOKEN.finditer(text[a:b]):
+            start, end = a + m.start(), a + m.end()
+            while at < len(busy) and busy[at][1] <= start:
+                at += 1
+            if at < len(busy) and busy[at][0] < end:
+                continue
+            inner = m[0].strip(EDGES)
+            if "@" in inner.strip("@") or len(inner) >= 6 and sum(c.isdigit() for c in inner) >= 4:
+                start += m[0].index(inner)
+                out.append((start, start + len(inner)))
+    return sorted(out)
+
+
+def between(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of ``text`` outside ``spans``, which are in order."""
+    at = 0
+    for start, end in spans:
+        if start > at:
+            yield at, start
+        at = max(at, end)
+    yield at, len(text)
 
 
 def fits(instance: str) -> int:

@@ -137,6 +137,32 @@ def test_patterns_with_many_unseen_instances(spark):
     assert not any(kinds[i] for i in range(clean, clean + 40)) and not any(kinds[i] for i in range(clean + 50, len(texts)))
 
 
+def test_candidates_are_whole():
+    long = "x" * 100 + "1234"
+    cases = {
+        "write anna@intern or müller@bücher.de, ok": ["anna@intern", "müller@bücher.de"],
+        "ring 555 123 4567 now": ["555 123 4567"],
+        "ring (017) 555-7713 now": ["(017) 555-7713"],
+        "tel:(017)555-7713.": ["(017)555-7713"],
+        "(017) 555-7713 10.0.0.1": ["(017) 555-7713"],
+        "id:ab1234;555 123 4567,cd5678 7.5": ["id:ab1234", "555 123 4567", "cd5678"],
+        f"see {long} end": [long],
+        "at 5 @ 3 and @home": [],
+        "555 123 4567x89 ab123456": ["555 123", "4567x89", "ab123456"],
+    }
+    for text, want in cases.items():
+        assert [text[s:e] for s, e in pii.candidates(text, pii.base_spans(text))] == want, text
+    for text in ("1 " * 200_000, "1-" * 200_000 + "x", "(1 " * 100_000, "1(1" * 100_000 + "x", "1.2.3.4 5 " * 50_000, "a@ " * 100_000):
+        pii.examine(text)  # in linear time
+
+
+def test_spaced_numbers_and_addresses_are_masked(spark):
+    rows = [(i, f"please ring +1 (017) 555-{1000 + i} today") for i in range(20)] + [(i, f"write to u{'abcdefghijklmnopqrst'[i - 20]}@y.de please") for i in range(20, 40)]
+    rows += [(40, "please ring 555 123 4567 today"), (41, "please ring (017) 555-7713 today"), (42, "write to anna@intern please"), (43, "write to m@bücher.de please")]
+    got = {r[0]: r[1] for r in pii.without_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(40, 44)] == ["please ring [PHONE] today"] * 2 + ["write to [EMAIL] please"] * 2
+
+
 def test_masked():
     spans = [{"kind": "email", "start": 2, "end": 5}, {"kind": "phone", "start": 4, "end": 7}]
     assert pii.masked("ab12345cd", spans) == "ab[EMAIL]cd"
