@@ -30,10 +30,10 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[str]:
     """The n-grams of a word between blanks, so that beginnings and ends differ from middles."""
     framed = f" {word} "
-    return [framed[i : i + n] for i in range(len(framed) - n + 1)]
+    return (framed[i : i + n] for i in range(len(framed) - n + 1))
 
 
 class Model:
@@ -60,9 +60,12 @@ class Model:
         """Log frequencies of one word: its own, or the mean over its longest n-grams that are known."""
         found = self.levels[0].get(word)
         for n in range(LONGEST, 0, -1) if found is None else ():
-            known = [v for g in grams(word[:64], n) if (v := self.levels[n].get(g)) is not None]
+            total, known = 0, 0
+            for g in grams(word, n):
+                if (v := self.levels[n].get(g)) is not None:
+                    total, known = total + v, known + 1
             if known:
-                return sum(known) / len(known)
+                return total / known
         return np.zeros(len(self.langs)) if found is None else found
 
     def number(self, word: str) -> int:
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     for w, n in of.items():
                         found[0, lang, w] += n
                         for k in range(1, LONGEST + 1):
-                            for g in grams(w[:64], k):
+                            for g in grams(w, k):
                                 found[k, lang, g] += n
                 if len(found) > 400_000:
                     yield rows()

@@ -86,6 +86,15 @@ def test_language_backoff():
     assert [model.predict(t) for t in (None, "", "12 %&", "\n")] == [("und", 0.0)] * 4
 
 
+def test_long_words_count_whole(spark):
+    model = language_id.Model(["a", "b"], [(1, "a", "x", 10), (1, "b", "y", 10)])
+    assert model.predict("x" * 64 + "y" * 200)[0] == "b" and model.predict("y" * 64 + "x" * 200)[0] == "a"
+    assert model.predict("x" * 64 + "y" * 300_000)[0] == "b"
+    rows = [(i, "q" * 64 + end * 40, lang) for i in range(20) for end, lang in (("xz", "a"), ("yw", "b"))]
+    fitted = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.predict("q" * 70 + "yw" * 30)[0] == "b" and fitted.predict("q" * 70 + "xz" * 30)[0] == "a"
+
+
 def test_language_of_odd_rows(spark):
     docs = [(i, "the cat is here" if i % 2 else "der hund ist da", "en" if i % 2 else "de") for i in range(60)]
     docs += [(60, None, "en"), (61, "", None), (None, "the cat", None), (62, "12", "de"), (1, docs[1][1], "en"), (63, "katze " * 50_000, None)]
