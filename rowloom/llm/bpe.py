@@ -4,7 +4,8 @@ A rolling hash over the bytes cuts each text where its content says so; document
 share passages so share chunks.  Documents are dealt out by the smallest hash of their
 chunks, which brings those that share chunks to one task, and a task encodes a chunk once.
 At each joint of two chunks the words around it are encoded again, in a window that grows
-until its ids agree with those of the chunks on either side.
+until its ids agree with those of the chunks on either side; where no window within the
+two chunks agrees, the text is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,28 @@ from .common import map_arrow, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees, and bits of it that are zero at a cut: chunks have about 2 ** CUT_BITS bytes.
-WINDOW, CUT_BITS = 32, 11
-#: Words of a generation, and bytes of chunks, that a Python worker remembers.
-MEMO_WORDS, MEMO_BYTES = 120_000, 32 << 20
+WINDOW, CUT_BITS = 32, 10
+#: Bytes of chunks, and words of a generation, that a Python worker remembers.
+MEMO_BYTES, MEMO_WORDS = 16 << 20, 200_000
 #: Longest word that is remembered.
-LONGEST = 128
+LONGEST = 64
 
 #: Blanks at which a text can be taken apart: the tokenizer drops them, and no token crosses them.
 BLANK = re.compile("[ \n]")
 #: A special token of the tokenizer: it stands between words that are encoded together.
 MARK = "<|endoftext|>"
+#: A word of small letters; and signs at a word's end, which the tokenizer takes together, apart from the letters before them.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+SIGNS = re.compile(r"(?<=[a-zß-öø-ÿ])([!-&(-/:;=-@\[-`{-~]+)(?= )")
+#: How the last token of a word ends.
+WORD_END = "</w>"
 GEAR = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
-def cuts(data: bytes) -> list[int]:
-    """Where the rolling hash of the last WINDOW bytes ends in zeros, between code points."""
+def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rolling hash of the last WINDOW bytes ends in zeros, between code points, and the hashes there."""
     if len(data) <= WINDOW:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     h, span = GEAR[raw], 1
     while span < WINDOW:  # h covers ``span`` bytes: twice as many with the one before
@@ -47,23 +54,56 @@ def cuts(data: bytes) -> list[int]:
         span *= 2
     mask = np.uint64((1 << CUT_BITS) - 1) << np.uint64(WINDOW)
     at = np.flatnonzero((h[WINDOW - 1 : -1] & mask) == 0) + WINDOW
-    return [int(i) for i in at if raw[i] & 0xC0 != 0x80]
+    at = at[raw[at] & 0xC0 != 0x80]
+    return at, h[at - 1]
+
+
+def pieces(text: str) -> list[bytes]:
+    """The chunks of a text, as bytes."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = [*boundaries(data)[0].tolist(), len(data)]
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if b > a]
 
 
 def chunks(text: str) -> list[str]:
-    data, out, last = text.encode("utf-8", "surrogatepass"), [], 0
-    for at in [*cuts(data), len(data)]:
-        if at > last:
-            out.append(data[last:at].decode("utf-8", "surrogatepass"))
-            last = at
-    return out
+    return [p.decode("utf-8", "surrogatepass") for p in pieces(text)]
 
 
 def place_of(text: str | None) -> int:
-    """The smallest hash of a text's chunks: documents that share chunks tend to share it."""
+    """The smallest hash at a chunk's end: documents that share chunks tend to share it; a text of one chunk has its own hash."""
     import xxhash
 
-    return min((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks(text or "")), default=0)
+    data = (text or "").encode("utf-8", "surrogatepass")
+    found = boundaries(data)[1]
+    return int(found.min()) if len(found) else xxhash.xxh64_intdigest(data)
+
+
+def plainer(text: str) -> str:
+    """A text that encodes to the same ids and has fewer different words: small letters, as the tokenizer makes them, and signs apart from words.
+
+    Only texts of one-byte characters, whose small letters are single, and without special tokens are changed.
+    """
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text if "<|" in text else SIGNS.sub(r" \1", text.lower())
+
+
+@dataclass(frozen=True)
+class Chunk:
+    """What a chunk gives, whatever stands around it: the partial words at its edges, and all between its first and last blank encoded."""
+
+    text: str
+    head: str
+    tail: str
+    ids: bytes
+    first: tuple[str, bytes]
+    last: tuple[str, bytes]
+
+    def words(self) -> list[str]:
+        return [w for w in BLANK.split(self.text)[1:-1] if w]
 
 
 class Words(dict):
@@ -87,7 +127,7 @@ class Words(dict):
 
 
 class Coder:
-    """Encodes texts by chunks and decodes ids, with a bounded memory of words and chunks."""
+    """Encodes texts by chunks and decodes ids, with a bounded memory of chunks."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -100,84 +140,130 @@ class Coder:
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers that join their tokens by blanks are decoded here")
         self.tokens = pa.array([self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))])
-        self.mark = self.tokenizer.token_to_id(MARK)
-        self.words = Words(self.whole)
-        self.chunks: dict[str, tuple[str, str, str, str, bytes]] = {}
-        self.held = self.reused = self.repaired = 0
+        self.ends = np.array([t.as_py().endswith(WORD_END) for t in self.tokens])
+        self.marks = np.arange(len(self.tokens)) == self.tokenizer.token_to_id(MARK)
+        self.words = Words(lambda word: self.batch([word])[0])
+        self.chunks: dict[str, Chunk] = {}
+        self.held = self.encoded = self.reused = self.repaired = self.grown = self.whole = 0
 
-    def whole(self, text: str) -> bytes:
-        """The ids of a text, as 32-bit numbers, straight from the tokenizer."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers, straight from the tokenizer."""
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The text that each list of ids stands for: its tokens between blanks."""
         tokens = pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
         return pc.binary_join(tokens, " ")
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Encode the new words of ``texts`` at once, between marks that the tokenizer never merges with words."""
-        new: set[str] = set()
-        for text in texts:
-            if text:
-                new |= set(text.replace("\n", " ").split(" ")).difference(self.words)
-        some = [w for w in new if len(w) <= LONGEST and MARK not in w and w not in self.words.older]
-        if len(self.words) + len(some) > MEMO_WORDS:
-            self.words.age()
-        for at in range(0, len(some), 20_000):
-            words = some[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(words)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            data = ids.tobytes()
-            self.words.update(zip(words, (data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True))
-
-    def joined(self, words: list[str]) -> bytes:
+    def learn(self, parts: list[list[str]]) -> None:
+        """Encode the chunks that are new, each once, from the ids of their words."""
+        if self.held > MEMO_BYTES:
+            self.chunks, self.held = {}, 0
+        new = list({c: None for own in parts for c in own if c not in self.chunks and BLANK.search(c)})
+        flat = [c.replace("\n", " ") for c in new]
+        inner = [c[c.index(" ") : c.rindex(" ") + 1] for c in flat]
+        words = [plainer(i).split(" ") for i in inner]
+        self.learn_words(set().union(*words))
+        for chunk, c, i, w in zip(new, flat, inner, words, strict=True):
+            ids, i = self.ids_of(w), i.strip(" ")
+            first, last = i[: i.find(" ")] if " " in i else i, i[i.rfind(" ") + 1 :]
+            self.chunks[chunk] = Chunk(chunk, c[: c.index(" ")], c[c.rindex(" ") + 1 :], ids, (first, self.ids_of(plainer(f"{first} ").split(" "))), (last, self.ids_of(plainer(f"{last} ").split(" "))))
+            self.held += 2 * len(chunk) + len(ids) + 700
+        self.encoded += len(new)
+
+    def ids_of(self, words: list[str]) -> bytes:
         return b"".join(map(self.words.__getitem__, words))
 
-    def chunk(self, chunk: str) -> tuple[str, str, str, str, bytes]:
-        """The word before a chunk's first blank and the one after its last, the whole words next to them, and all between encoded."""
-        found = self.chunks.get(chunk)
-        if found is None:
-            words = chunk.replace("\n", " ").split(" ")
-            inner = words[1:-1]
-            first, last = next(filter(None, inner), ""), next(filter(None, reversed(inner)), "")
-            found = (words[0], words[-1], first, last, self.joined(inner))
-            size = 2 * len(chunk) + len(found[4]) + 200
-            if self.held + size > MEMO_BYTES:
-                self.chunks, self.held = {}, 0
-            self.chunks[chunk] = found
-            self.held += size
-        else:
-            self.reused += 1
-        return found
-
-    def agrees(self, before: str, joint: str, after: str) -> bool:
-        """Whether the joint with a whole word on either side encodes to the ids of the three."""
-        return self.whole(f"{before} {joint} {after}") == self.joined([before, joint, after])
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, as 32-bit numbers."""
-        ids, joint, before = [], "", ""
-        for i, part in enumerate(chunks(text or "")):
-            if not BLANK.search(part):  # no whole word ends here: the joint grows over this chunk
-                joint += part
-                continue
-            head, tail, first, last, inner = self.chunk(part)
-            joint += head
-            if i and not self.agrees(before, joint, first):
-                return self.whole(text)
-            self.repaired += i > 0
-            ids += [self.words[joint], inner]
-            joint, before = tail, last
-        return b"".join([*ids, self.words[joint]])
+    def learn_words(self, words: set[str]) -> None:
+        """Encode new words, many at once: those of letters between blanks, others between marks that the tokenizer never merges with them."""
+        if len(self.words) > MEMO_WORDS:
+            self.words.age()
+        young, old, plain = self.words, self.words.older, PLAIN.fullmatch
+        kinds: tuple[list[str], list[str]] = ([], [])
+        for w in words:
+            if w not in young and w not in old and len(w) <= LONGEST and MARK not in w:
+                kinds[plain(w) is None].append(w)
+        for some, between, last in ((kinds[0], " ", self.ends), (kinds[1], MARK, self.marks)):
+            for at in range(0, len(some), 2000):
+                self.words.update(zip(some[at : at + 2000], self.split(between.join(some[at : at + 2000]), last), strict=True))
+
+    def split(self, text: str, last: np.ndarray) -> list[bytes]:
+        """The ids of each word of a text, of which the ids in ``last`` are the ends; marks between words go."""
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        data, ends = ids.tobytes(), np.flatnonzero(last[ids])
+        if last is self.ends:
+            stops = (4 * (ends + 1)).tolist()
+            return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        ends = ends.tolist()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+
+    def repair(self, left: Chunk | None, joint: str, right: Chunk | None, a: bytes, b: bytes) -> tuple[bytes, bytes, bytes] | None:
+        """The ids before, of and after a joint; None if no window within the two chunks agrees with what lies outside it.
+
+        The window has ``k`` whole words on either side.  It agrees if it begins and ends
+        with the ids of its outermost words and the chunks have the same ids there.
+        """
+        before, after = left.words() if left else [], right.words() if right else []
+        k = 1
+        while True:
+            m, n = max(0, len(before) - k), min(k, len(after))
+            keep, outer, inner, then, window = self.batch([" ".join(x) for x in (before[: m + 1], before[m : m + 1], after[n - 1 : n] if n else [], after[n - 1 :] if n else [], [*before[m:], joint, *after[:n]])])
+            if a.startswith(keep) and keep.endswith(outer) and b.endswith(then) and then.startswith(inner) and agrees(outer, window, inner):
+                return keep, window[len(outer) : len(window) - len(inner)], then
+            if k >= max(len(before), len(after)):
+                return None
+            k *= 2
 
     def encode_all(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text, as lists."""
-        self.learn(texts)
-        found = [self.encode(t) for t in texts]
+        parts, known, uses = [chunks(t or "") for t in texts], self.encoded, 0
+        self.learn(parts)
+        lines: list[list[Chunk | str]] = []  # joints and chunks in turn, beginning and ending with a joint
+        for own in parts:
+            line: list[Chunk | str] = [""]
+            for part in own:
+                chunk = self.chunks.get(part)
+                if chunk is None:  # no blank, so no whole word ends here: the joint grows over this chunk
+                    line[-1] += part
+                else:
+                    line[-1] += chunk.head
+                    line += [chunk, chunk.tail]
+                    uses += 1
+            lines.append(line)
+        self.reused += uses - (self.encoded - known)
+        windows = self.batch([f"{line[i - 1].last[0] if i else ''} {line[i]} {line[i + 1].first[0] if i + 1 < len(line) else ''}" for line in lines for i in range(0, len(line), 2)])
+        found, at = [], 0
+        for text, line in zip(texts, lines, strict=True):
+            out = [x.ids if isinstance(x, Chunk) else windows[at + i // 2] for i, x in enumerate(line)]
+            for i in range(0, len(line), 2):
+                left, right = line[i - 1] if i else None, line[i + 1] if i + 1 < len(line) else None
+                outer, inner = left.last[1] if left else b"", right.first[1] if right else b""
+                self.repaired += 1
+                if agrees(outer, out[i], inner) and (not left or out[i - 1].endswith(outer)) and (not right or out[i + 1].startswith(inner)):
+                    out[i] = out[i][len(outer) : len(out[i]) - len(inner)]
+                    continue
+                self.grown += 1
+                fixed = self.repair(left, line[i], right, out[i - 1] if left else b"", out[i + 1] if right else b"")
+                if fixed is None:
+                    self.whole += 1
+                    out = self.batch([text])
+                    break
+                out[i] = fixed[1]
+                if left:
+                    out[i - 1] = fixed[0]
+                if right:
+                    out[i + 1] = fixed[2]
+            at += (len(line) + 1) // 2
+            found.append(b"".join(out))
         ends = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
+def agrees(before: bytes, window: bytes, after: bytes) -> bool:
+    """Whether a window begins and ends with the ids of its outermost words."""
+    return len(window) >= len(before) + len(after) and window.startswith(before) and window.endswith(after)
+
+
 _coders: dict[str, Coder] = {}
 
 

@@ -26,7 +26,7 @@ ODD = ["", " ", "\n\n", "a", "don't STOP 12.5%", "x<|endoftext|>y <|startoftext|
 
 
 def mixed(rng, n):
-    words = ["the", "of", "Straße", "naïve", "…", "don't", "x1y2", "日本", "́", "<|endoftext|>", "A" * 300, "'s", " ", "\x1c"]
+    words = ["the", "of", "Of,", "THE...", "don't.", "Ärger!?", "ÿ<|endoftext|>", "a_b", "ab$'s", "İx,", "ΑΣ.", "Straße", "naïve", "…", "don't", "x1y2", "日本", "́", "<|endoftext|>", "A" * 300, "'s", " ", "\x1c"]
     return "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t", "", "\xa0"]) for _ in range(n))
 
 
@@ -42,6 +42,7 @@ def test_encoding_equals_the_library(monkeypatch):
     monkeypatch.setattr(bpe, "CUT_BITS", 5)  # many joints
     rng, t, own = random.Random(2), library(bpe.TOKENIZER), bpe.Coder()
     shared = mixed(rng, 300)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 100_000)
     monkeypatch.setattr(bpe, "MEMO_WORDS", 100)
     texts = [*ODD, *(mixed(rng, n) for n in range(1, 120)), *(mixed(rng, 5) + shared for _ in range(20))]
     for at in range(0, len(texts), 10):
@@ -50,15 +51,39 @@ def test_encoding_equals_the_library(monkeypatch):
         want = [t.encode(x, add_special_tokens=False).ids for x in some]
         assert found.to_pylist() == want
         assert own.decode(found).to_pylist() == [t.decode(ids, skip_special_tokens=False) for ids in want]
-    assert own.reused > 100 and own.repaired > 100
+    assert own.reused > 100 and own.repaired > 100 and own.whole == 0
 
 
-def test_joints_that_disagree_are_encoded_whole(monkeypatch):
+class Merging(bpe.Coder):
+    """A coder whose tokenizer takes some words together across a blank: "foo bar" becomes one word."""
+
+    def ids_of(self, words):
+        return self.batch([" ".join(words)])[0]
+
+    def batch(self, texts):
+        flat = [" ".join(filter(None, bpe.BLANK.split(t))) for t in texts]
+        return super().batch([t.replace("foo bar", "zebra") for t in flat])
+
+
+def test_joints_that_disagree_grow(monkeypatch):
     monkeypatch.setattr(bpe, "CUT_BITS", 5)
-    own = bpe.Coder()
-    monkeypatch.setattr(own, "agrees", lambda *_: False)
-    text = mixed(random.Random(3), 200)
-    assert own.encode_all([text]).to_pylist() == [library(bpe.TOKENIZER).encode(text, add_special_tokens=False).ids]
+    rng, own = random.Random(3), Merging()
+    words = ["foo", "bar", "foo bar", "six", "abcdefghijklmnop", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(60)]
+    assert own.encode_all(texts).to_pylist() == [np.frombuffer(i, np.int32).tolist() for i in own.batch(texts)]
+    assert own.grown > 20 and own.whole < own.grown / 2
+
+
+def test_each_chunk_is_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe, "CUT_BITS", 5)
+    rng, own = random.Random(4), bpe.Coder()
+    shared = mixed(rng, 400)
+    texts = [f"{mixed(rng, 3)} {shared}" for _ in range(30)]
+    own.encode_all(texts[:10])
+    own.encode_all(texts[10:])
+    parts = [c for t in texts for c in bpe.chunks(t) if bpe.BLANK.search(c)]
+    assert own.encoded == len(set(parts)) and own.reused == len(parts) - len(set(parts)) > 10 * own.encoded
+    assert own.grown == 0 < own.repaired
 
 
 def test_encoding_of_rows(spark):
@@ -135,11 +160,11 @@ def test_neighbours_lie_together(spark):
 
 
 def brute_nearest(rows, k=5):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
     for q, (i, a) in enumerate(ok):
         if i % 10 == 0:
-            scores = sorted((-float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), j) for x, (j, b) in enumerate(ok) if x != q)
+            scores = sorted((-float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), j) for x, (j, b) in enumerate(ok) if x != q and len(b) == len(a))
             out[i] = [(j, -s) for s, j in scores[:k]]
     return out
 
@@ -149,14 +174,15 @@ def test_nearest_neighbours(spark):
     rows = [(i, rng.standard_normal(16).astype("f4").tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(60)]  # one vector many times
     rows += [(500 + i, [-x for x in rows[3][1]]) for i in range(3)]
-    rows += [(600, None), (610, [0.0] * 16), (620, [1.0] * 15 + [None]), (630, [float("nan")] * 16), (640, [float("inf")] * 16), (650, [1.0] * 4), (None, rows[5][1])]
+    rows += [(600, None), (610, [0.0] * 16), (620, [1.0] * 15 + [None]), (630, [float("nan")] * 16), (640, [float("inf")] * 16), (650, [1.0, 2.0, 3.0, 4.0]), (None, rows[5][1])]
+    rows += [(660 + i, rng.standard_normal(4).tolist()) for i in range(12)] + [(700, [1.0] * 70), (701, [1.0] * 69 + [2.0])]
     frame = spark.createDataFrame([(i, v, 1, 0.5) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double").repartition(4)
     got = defaultdict(list)
     for r in ann.nearest(frame, "id % 10 = 0").orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert r["rank"] == len(got[r["query_id"]])
     want = brute_nearest(rows)
-    assert got.keys() == want.keys()
+    assert got.keys() == {q for q, w in want.items() if w} and {650, 660, 700} <= got.keys()
     found = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
     assert found >= 0.98 * sum(map(len, want.values()))
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True) if a[0] == b[0])
@@ -165,6 +191,25 @@ def test_nearest_neighbours(spark):
     assert sorted(r["vec_id"] for r in ann.nearest(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "vec_id long, embedding array<double>"), "id = 0").collect()) == [1, 2]
 
 
+def test_recall_on_the_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in frame.collect()]
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got, exact = (defaultdict(set), defaultdict(set))
+    for margin, into in ((ann.MARGIN, got), (float("inf"), exact)):
+        for r in ann.nearest(frame, "id % 50 = 0", margin=margin).collect():
+            into[r["query_id"]].add(r["vec_id"])
+    hits = n = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[i]
+        score[i] = -2
+        best = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        hits, n = hits + len(best & got[ids[i]]), n + 5
+        assert len(best & exact[ids[i]]) == 5
+    assert hits >= 0.98 * n
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(7)
     unit = rng.standard_normal((3000, 64))
@@ -172,7 +217,10 @@ def test_error_bounds_hold():
     turn = ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
     code, fit = ann.codes_of(unit, turn)
+    assert code.dtype == np.uint64 and code.shape == (3000, 1)
+    signs = np.where(unit @ turn > 0, 1.0, -1.0)
     about, error = ann.estimates(unit[:50] @ turn, code, fit)
+    assert np.abs(about - (unit[:50] @ turn) @ signs.T / (8 * fit)).max() < 0.1  # the planes give the inner product, but for the rounding
     inside = np.abs(about - unit[:50] @ unit.T) <= error
     assert inside.mean() > 0.97 and np.abs(about - unit[:50] @ unit.T).mean() < 0.12
 
@@ -181,7 +229,7 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(8)
     frame = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, ann.nearest(frame, "id % 10 = 0").collect()))
-    monkeypatch.setattr(ann, "DATA_BLOCK", 30)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "DATA_BYTES", 30 * 8 * 16)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 7 * 8 * 16)
     again = sorted(map(tuple, ann.nearest(frame, "id % 10 = 0").collect()))
     assert len(again) == 100 and len(set(whole) & set(again)) >= 98
