@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: A key is heavy if it holds more than one row in HEAVY_SHARE; so there are fewer than HEAVY_SHARE heavy keys.
-HEAVY_SHARE = 1000
+from ..session import shared_folder
+
+#: Rows of one key that a task can well hold.  A key is heavy above that, or above one row in HEAVY_SHARE if that is less.
+HEAVY_ROWS, HEAVY_SHARE = 1_000_000, 1000
 
 #: Rows of text that Python holds as objects at one time.
 SLICE_BYTES = 4 << 20
@@ -24,14 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: the session's checkpoint folder, or a temporary one where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowloom-"))
-    return context.getCheckpointDir()
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: for rows with texts, which compress well and are read by column."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
@@ -56,9 +49,13 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` with a ``row_key`` in ``keys``; of rows that agree in id and text, one."""
-    own = docs.withColumn("_row_key", row_key(id_col, text_col))
-    return own.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    """The rows of ``docs`` with a ``row_key`` in ``keys``; of rows that agree in id and text, one.
+
+    Repeats collapse within each task before the one shuffle of texts, so a row that is
+    there very often costs a row a task.
+    """
+    own = docs.withColumn("_row_key", row_key(id_col, text_col)).dropDuplicates(["_row_key"])
+    return own.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi").select(*docs.columns)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
@@ -85,22 +82,24 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> tuple[DataFrame, int]:
-    """The keys that hold more than one row in ``share``, with the column ``_n``; at most ``share`` of them can exist."""
+def heavy_keys(df: DataFrame, keys: list[str], total: int, share: int = HEAVY_SHARE) -> DataFrame:
+    """The heavy keys of ``df``, which has ``total`` rows: at most the larger of ``share`` and a millionth of the rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    return counts.where(F.col("_n") * share > max(total, share)), total
+    return counts.where(F.col("_n") > min(max(total // share, 1), HEAVY_ROWS)).select(*keys)
 
 
-def join_on_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = HEAVY_SHARE) -> DataFrame:
+def join_on_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = HEAVY_SHARE, plain: int = HEAVY_ROWS) -> DataFrame:
     """Join ``left`` to ``right``, of which each key has one row, without gathering a heavy key of ``left`` in a task.
 
-    Rows of heavy keys (fewer than ``share`` keys, by counting) meet their partners by
-    broadcast; the others meet by shuffle.  Both sides should be cheap to read again.
-    Null keys find no partner.
+    Rows of heavy keys (at most ``share`` keys, or a millionth of the rows, by counting)
+    meet their partners by broadcast; the others meet by shuffle.  Up to ``plain`` rows no
+    key can be too large for a task, and all meet by shuffle.  Both sides should be cheap
+    to read again.  Null keys find no partner.
     """
-    heavy, _ = heavy_keys(left, keys, share)
-    heavy = cut(heavy.select(*keys))
+    total = left.count()
+    if total <= plain:
+        return left.join(right, keys, how)
+    heavy = cut(heavy_keys(left, keys, total, share))
     apart = left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, how)
     rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
     return rest.unionByName(apart)

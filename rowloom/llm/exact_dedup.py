@@ -25,6 +25,24 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+#: Bits of the filter of ``maybe_in``, and bits of each of its rows.
+FILTER_BITS, MAP_BITS = 1 << 27, 1 << 15
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is in ``keys``, and a few others, without a shuffle of ``rows``.
+
+    The hashes of the keys are bits of a filter in FILTER_BITS / MAP_BITS rows, 16 MB in all
+    however many keys there are; with very many it lets more rows through, and loses none.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = keys.select(spot.alias("_spot")).groupBy((F.col("_spot") / MAP_BITS).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.pmod("_spot", F.lit(MAP_BITS))).alias("_bits"))
+    met = rows.withColumn("_spot", spot).withColumn("_map", (F.col("_spot") / MAP_BITS).cast("int")).join(F.broadcast(bits), "_map")
+    at = F.pmod("_spot", F.lit(MAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``row_key``.
 
@@ -33,19 +51,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that too, one stays.  Null texts count as empty ones, which equal each other.  Other
     columns of ``docs`` are ignored; an empty table gives an empty result.
 
-    The hash decides which rows may be equal.  Grouping by hash and text then compares the
-    bytes: copies collapse before the shuffle, so a large group costs a row per task.
-    Where one hash stands for several texts, the rows of that hash are grouped by text.
+    The hash decides which rows may be equal.  Where several rows have one, grouping by
+    hash and text compares the bytes; copies collapse before that shuffle, so a large
+    group costs a row per task, and most texts whose hash no other row has stay where
+    they are.  Where one hash stands for several texts, its rows are grouped by text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_chars"), normalised(F.col(text_col)).alias("_text"), row_key(id_col, text_col).alias("row_key"))
     rows = rows.withColumn("_hash", hash_of(F.col("_text")))
     facts = cut(rows.select("_id", "_chars", "row_key", "_hash", F.sha2("_text", 256).alias("_sha"), F.lit("").alias("_sub")))
 
-    texts = rows.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = cut(facts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
+    texts = maybe_in(rows.select("_hash", "_text"), repeated, "_hash").groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("_n"))
     clashes = cut(texts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_hash"))
     if not clashes.isEmpty():
-        apart = rows.join(clashes, "_hash", "left_semi").select("_id", "_chars", "row_key", "_hash", F.sha2("_text", 256).alias("_sha"), F.col("_text").alias("_sub"))
+        apart = maybe_in(rows, clashes, "_hash").join(clashes, "_hash", "left_semi").select("_id", "_chars", "row_key", "_hash", F.sha2("_text", 256).alias("_sha"), F.col("_text").alias("_sub"))
         facts = cut(facts.join(clashes, "_hash", "left_anti").unionByName(apart))
     facts = facts.withColumn("_row", F.monotonically_increasing_id())  # stable: the rows are read from the checkpoint
 

@@ -169,7 +169,7 @@ def links_within(fp: np.ndarray, probe: np.ndarray, distance: int) -> tuple[np.n
 
 def links(rows: DataFrame, distance: int) -> DataFrame:
     """``edges(a, b)`` from keyed rows that carry ``block``: verified links that connect each block."""
-    keys = ["part", "key", "block"]
+    keys = ["part", "key", "turn", "rest", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, keys):
@@ -199,15 +199,37 @@ def links(rows: DataFrame, distance: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """Keyed rows with ``block``: buckets above BLOCK rows are dealt into pairs of blocks, so none is gathered whole."""
-    large = cut(rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("part", "key", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+def large_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The buckets above BLOCK rows, with their number of ``blocks``."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cut(sizes.where(F.col("n") > BLOCK).select(*keys, F.ceil(F.col("n") / BLOCK).alias("blocks")))
+
+
+def in_blocks(rows: DataFrame, parts: list[tuple[list[int], int]], distance: int) -> DataFrame:
+    """Keyed rows with ``turn``, ``rest`` and ``block``, so that no bucket is gathered whole and none is compared whole.
+
+    The rows of a bucket above BLOCK rows are keyed again by the bits outside its
+    partition: in ``distance + 1`` groups, of which linked fingerprints share one.  What is
+    still above BLOCK rows then, fingerprints that agree in most bits, is dealt into pairs
+    of blocks.  Rows meet the list of large buckets by ``join_on_unique``, which splits hot ones.
+    """
+    rows = rows.withColumns({"turn": F.lit(-1), "rest": F.lit(0).cast("long")})
+    large = large_buckets(rows, ["part", "key"])
     if large.isEmpty():
         return rows.withColumn("block", F.lit(0).cast("long"))
-    tagged = rows.join(large, ["part", "key"], "left")
+    outside = [np.array_split([b for b in range(BITS) if b not in bits], distance + 1) for bits, _ in parts]
+    masks = [list(dict.fromkeys(int(np.uint64(mask_of(own.astype(int).tolist())).view(np.int64)) for own in groups)) for groups in outside]
+    again = F.posexplode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in masks]), F.col("part") + 1)))
+    met = join_on_unique(rows.drop("turn", "rest"), large, ["part", "key"])
+    tagged = met.select("part", "key", "fp", "probe", "blocks", again.alias("turn", "mask"))
+    tagged = cut(tagged.select("part", "key", "fp", "probe", F.when(F.col("blocks").isNull(), -1).otherwise(F.col("turn")).alias("turn"), F.col("fp").bitwiseAND(F.col("mask")).alias("rest")))
+    keys = ["part", "key", "turn", "rest"]
+    dense = large_buckets(tagged.where("turn >= 0"), keys)
+    if dense.isEmpty():
+        return tagged.withColumn("block", F.lit(0).cast("long"))
     own, blocks = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.col("blocks")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(own, x) * blocks + F.greatest(own, x))
-    return tagged.withColumn("block", F.explode(F.when(blocks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
+    return join_on_unique(tagged, dense, keys).withColumn("block", F.explode(F.when(blocks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
@@ -223,7 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = distinct.count()
     some = distinct.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(n, 1))) < SAMPLE).limit(2 * SAMPLE)
     sample = np.array(sorted(r[0] for r in some.collect()), np.int64).view(np.uint64)
-    edges = links(in_blocks(keyed(distinct, plan(sample, n, distance))), distance)
+    parts = plan(sample, n, distance)
+    edges = links(in_blocks(keyed(distinct, parts), parts, distance), distance)
     nodes = cut(components(edges))
 
     linked = nodes.join(distinct, nodes.node == distinct.fp).groupBy("component").agg(F.min("least").alias("component_id"))

@@ -116,7 +116,7 @@ def test_buckets_above_a_block_lose_no_link(spark, monkeypatch):
     prints = np.unique(np.concatenate((prints, rng.integers(0, 1 << 63, 50).astype(np.uint64))))
     distinct = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
     for parts in simhash.plan(prints, len(prints), 4), simhash.plan(prints, 10**9, 4), [(list(range(32)), 2), (list(range(32, 64)), 1)]:
-        edges = simhash.links(simhash.in_blocks(simhash.keyed(distinct, parts)), 4)
+        edges = simhash.links(simhash.in_blocks(simhash.keyed(distinct, parts), parts, 4), 4)
         got = {r[0]: r[1] for r in components(edges).collect()}
         unsigned = [int(p) for p in prints]
         want = brute_components([int(p) for p in prints.view(np.int64)], unsigned, 4)
@@ -160,5 +160,5 @@ def test_components(spark):
 def test_join_of_heavy_keys(spark):
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, v long")
     right = spark.createDataFrame([(i, i * 10) for i in range(0, 2000, 2)] + [(1, 10)], "k long, w long")
-    for how in ("inner", "left"):
-        assert sorted(map(str, join_on_unique(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    for how, plain in (("inner", 0), ("left", 0), ("left", 10**6)):
+        assert sorted(map(str, join_on_unique(left, right, ["k"], how, plain=plain).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
