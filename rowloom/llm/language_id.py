@@ -37,18 +37,32 @@ def grams(word: str, n: int) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies by language of words (level 0) and of n-grams (level n)."""
+    """Log frequencies by language of words (level 0) and of n-grams (level n), in one table; ``levels`` say which row is whose."""
 
     def __init__(self, langs: list[str], rows: list[tuple[int, str, str, int]], smoothing: float = 0.5):
         self.langs = sorted(langs)
         at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for level, lang, gram, n in rows:
-            counts[level].setdefault(gram, np.zeros(len(at)))[at[lang]] += n
-        self.levels = []
-        for of in counts:
-            total = sum(of.values(), np.zeros(len(at))) + smoothing * (len(of) + 1)
-            self.levels.append({gram: np.log((n + smoothing) / total) for gram, n in of.items()})
+        self.levels: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        number, places = 0, []
+        for level, _, gram, _ in rows:
+            if gram not in self.levels[level]:
+                self.levels[level][gram] = number
+                number += 1
+            places.append(self.levels[level][gram])
+        counts = np.zeros((number, len(at)))
+        np.add.at(counts, (np.array(places, np.int64), np.array([at[r[1]] for r in rows], np.int64)), [r[3] for r in rows])
+        for of in self.levels:
+            own = np.fromiter(of.values(), np.int64, len(of))
+            counts[own] = np.log((counts[own] + smoothing) / (counts[own].sum(0) + smoothing * (len(of) + 1)))
+        self.table = counts.astype(np.float32)
+        self.forget()
+
+    def __getstate__(self) -> tuple:
+        return self.langs, [list(of) for of in self.levels], [np.fromiter(of.values(), np.int32, len(of)) for of in self.levels], self.table
+
+    def __setstate__(self, state: tuple) -> None:
+        self.langs, names, places, self.table = state
+        self.levels = [dict(zip(n, p.tolist(), strict=True)) for n, p in zip(names, places, strict=True)]
         self.forget()
 
     def forget(self) -> None:
@@ -58,15 +72,14 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies of one word: its own, or the mean over its longest n-grams that are known."""
-        found = self.levels[0].get(word)
-        for n in range(LONGEST, 0, -1) if found is None else ():
-            total, known = 0, 0
-            for g in grams(word, n):
-                if (v := self.levels[n].get(g)) is not None:
-                    total, known = total + v, known + 1
+        own = self.levels[0].get(word)
+        if own is not None:
+            return self.table[own]
+        for n in range(LONGEST, 0, -1):
+            known = [r for g in grams(word, n) if (r := self.levels[n].get(g)) is not None]
             if known:
-                return total / known
-        return np.zeros(len(self.langs)) if found is None else found
+                return self.table[known].mean(0, dtype=np.float64)
+        return np.zeros(len(self.langs))
 
     def number(self, word: str) -> int:
         n = self.numbers[word] = len(self.numbers)
@@ -96,11 +109,16 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_d
         return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     quota = max(1, train_docs // len(sizes))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, quota / n))]), F.col(lang_col))
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """A model of bounded size: Spark counts words and n-grams of the sample and ranks them within each language."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, model_words: int | None = MODEL_WORDS, model_grams: int | None = MODEL_GRAMS, least: int = LEAST) -> Model:
+    """A model of the words and n-grams of a sample, which Spark counts and ranks within each language.
+
+    The model keeps the ``model_words`` commonest words and, of each length,
+    ``model_grams`` n-grams over all languages, of those that occur ``least`` times; None
+    and 1 keep all, of which a bounded sample has a bounded number.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -128,12 +146,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield rows()
 
     sample = labelled(docs, id_col, text_col, lang_col, train_docs)
-    counts = cut(sample.mapInArrow(count, "level int, lang string, gram string, n long").groupBy("level", "lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+    counts = cut(sample.mapInArrow(count, "level int, lang string, gram string, n long").groupBy("level", "lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     langs = [r[0] for r in counts.select("lang").distinct().collect()]
     rank = F.row_number().over(Window.partitionBy("level", "lang").orderBy(F.desc("n"), "gram"))
-    most = F.when(F.col("level") == 0, MODEL_WORDS // max(1, len(langs))).otherwise(MODEL_GRAMS // max(1, len(langs)))
-    kept = counts.withColumn("r", rank).where(F.col("r") <= most).select("level", "lang", "gram", "n").toPandas()
-    return Model(langs, list(kept.itertuples(index=False, name=None)))
+    share = lambda most: F.lit(1 << 30 if most is None else most // max(1, len(langs)))
+    kept = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("level") == 0, share(model_words)).otherwise(share(model_grams)))
+    found = kept.select("level", "lang", "gram", "n").toArrow()  # bounded by the sample, and by what the model keeps of it
+    return Model(langs, list(zip(*(found.column(c).to_pylist() for c in ("level", "lang", "gram", "n")), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k"
 HASHED, DIMS, DEPTH = 64, 3, 10
 #: Documents of each range, and at most in all, from which the bounds are taken; they decide how even the tasks are, not what is packed.
 BOUND_DOCS, MOST_BOUND_DOCS = 100, 100_000
-#: Bits of the key below the curve's, filled from a hash of the id, so that equal documents can be dealt to several tasks.
+#: Bits of the key below the curve's, filled from a hash of the row and its input partition, so that equal documents, even equal rows, can be dealt to several tasks.
 TIE_BITS = 32
 
 
@@ -123,14 +123,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, bounds:
                 at = np.searchsorted(edges, key, "right").astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"id": part.column(0), "part": pa.array(at), "key": pa.array(key), "wide": wide, "ids": pa.array(data, pa.binary())})
 
-    tie = F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1 << TIE_BITS))
+    tie = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id(), F.lit(8)), F.lit(1 << TIE_BITS))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tie.alias("tie")).mapInArrow(run, f"id {kind}, part int, key long, wide boolean, ids binary")
 
 
 def range_bounds(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, parts: int) -> list[int]:
     """Keys that split a bounded sample of documents into ``parts`` ranges of like token counts."""
     n, most = docs.count(), min(BOUND_DOCS * parts, MOST_BOUND_DOCS)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(max(n, 1))) < most)
+    some = docs.where(F.rand(9) * max(n, 1) < most)  # by chance, not by id: ids can be null or all alike
     sizes = encoded(some, id_col, text_col, tokenizer, []).select("key", F.length("ids").alias("n"))
     rows = sizes.limit(2 * most).toArrow()  # the limit gathers keys and lengths, not texts
     if not rows.num_rows:

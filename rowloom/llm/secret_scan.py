@@ -28,9 +28,10 @@ SCOPE = 400
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,31}+(?![A-Za-z0-9])")
+WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,}+(?![A-Za-z0-9])")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
-ENDPOINT = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+]{1,15}+://[A-Za-z0-9.-]++(?::[0-9]{1,5}+)?")
+ADDRESS = re.compile(r"://[A-Za-z0-9.-]++(?::[0-9]++)?")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+")
 #: Bits of entropy in a character from which a token may be a secret.
 ENTROPY = 3.5
 
@@ -51,10 +52,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE.index(s[0])))
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Spans of ``scheme://host`` with a port or none; a scheme begins with a letter and has two signs or more."""
+    out, low = [], 0
+    for m in ADDRESS.finditer(text):
+        start = m.start()
+        while start > low and text[start - 1] in SCHEME:
+            start -= 1
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if m.start() - start >= 2:
+            out.append((start, m.end()))
+        low = m.end()
+    return out
+
+
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What may be part of a credential and touches no base span."""
     found = [("weak_access", *m.span()) for m in WEAK_ACCESS.finditer(text) if any(c.isdigit() for c in m[0])]
-    found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    found += [("endpoint", *s) for s in endpoints(text)]
     for m in WEAK_SECRET.finditer(text):
         token = m[0]
         mixed = any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
