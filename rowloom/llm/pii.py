@@ -15,8 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import cut, join_on_unique, map_arrow, row_key, table
+from .common import cut, join_on_unique, map_arrow, table, written
 from .spans import SPAN, base_of, count_of, in_order, listed
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -37,8 +39,10 @@ EDGES = "\"'()[]{}<>,;:!?.|*#$%&"
 WORD = re.compile(r"[^\W\d_]+")
 #: An address in numbers, also of other forms than four decimal ones.
 NUMBERS = re.compile(r"[0-9A-Fa-f]*+(?:[.:]++[0-9A-Fa-f]++){2,}+(?:[/%]\w++)?")
-#: The reach of the words beside an instance.
+#: The reach of the words beside an instance; a larger one finds more of them.
 REACH = 40
+#: Rows with spans that patterns found, up to which these spans are broadcast.
+MORE_ROWS = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -79,9 +83,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def beside(text: str, start: int, end: int) -> tuple[str, str]:
-    """The nearest word before and after a span, lower-cased; empty if none is near."""
-    left, right = WORD.findall(text[max(0, start - REACH) : start]), WORD.search(text[end : end + REACH])
+def beside(text: str, start: int, end: int, reach: int = REACH) -> tuple[str, str]:
+    """The nearest word before and after a span, lower-cased; empty if none is within ``reach`` code points."""
+    left, right = WORD.findall(text[max(0, start - reach) : start]), WORD.search(text[end : end + reach])
     return (left[-1].lower() if left else ""), (right[0].lower() if right else "")
 
 
@@ -127,13 +131,13 @@ def fits(instance: str) -> int:
 FOUND = f"spans array<{SPAN}>, seen array<struct<kind: string, start: long, end: long, instance: string, fits: int, left: string, right: string>>"
 
 
-def examine(text: str | None) -> tuple[list[dict], list[dict]]:
+def examine(text: str | None, reach: int = REACH) -> tuple[list[dict], list[dict]]:
     """The base spans of a text, and every seed and candidate with its neighbours."""
     text = text or ""
     base = base_spans(text)
     seen = []
     for kind, start, end in [*base, *(("", *c) for c in candidates(text, base))]:
-        left, right = beside(text, start, end)
+        left, right = beside(text, start, end, reach)
         if left or right:
             seen.append({"kind": kind, "start": start, "end": end, "instance": text[start:end], "fits": 0 if kind else fits(text[start:end]), "left": left, "right": right})
     return [{"kind": k, "start": s, "end": e, "base": True} for k, s, e in base], seen
@@ -193,30 +197,41 @@ def bootstrap(seen: DataFrame, support: int = SUPPORT, confidence: float = CONFI
     return trusted.select("instance", "kind")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
-    """Each row's id, ``row_key`` and ``spans``, by kind and start; ends are exclusive, positions are code points.
+def found_in(rows: DataFrame, keep: list[str], text_col: str, reach: int = REACH, **settings: float) -> DataFrame:
+    """``(doc, spans)``: the columns ``keep`` of ``rows`` in one, and the spans of its text, by kind and start.
 
-    Null texts count as empty and have no spans.  Repeated rows and null ids keep their
-    rows; other columns are ignored; an empty table gives an empty result.  A span of a
-    fixed form has ``base`` true; those that patterns found bear the kind of their patterns, and
-    count wherever they have a word beside them.
+    The rows with the spans of fixed forms are written once, each under a number of its
+    own; what the patterns find comes back by that number, by broadcast where it is at most
+    MORE_ROWS rows, so that texts are shuffled only where very many have such spans.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    own, at = rows.select(F.struct(*keep).alias("doc"), *([] if text_col in keep else [text_col])), keep.index(text_col) if text_col in keep else None
 
-    def run(batch: pa.RecordBatch) -> dict:
-        found = [examine(t) for t in batch.column(1).to_pylist()]
-        return {"id": batch.column(0), "row_key": batch.column(2), "spans": [f[0] for f in found], "seen": [f[1] for f in found]}
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc = batch.column(0)
+        found = [examine(t, reach) for t in (batch.column(1) if at is None else doc.field(at)).to_pylist()]
+        return pa.RecordBatch.from_arrays([doc, pa.array([f[0] for f in found], spans), pa.array([f[1] for f in found], seen_in)], ["doc", "spans", "seen"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text_col).alias("row_key"))
-    facts = cut(map_arrow(rows, run, f"id {kind}, row_key string, {FOUND}")).withColumn("row", F.monotonically_increasing_id())
+    schema = StructType([own.schema[0], *StructType.fromDDL(FOUND).fields])
+    spans, seen_in = (to_arrow_schema(schema).field(n).type for n in ("spans", "seen"))
+    facts = written(map_arrow(own, run, schema).withColumn("row", F.monotonically_increasing_id()))
     seen = facts.select("row", F.inline("seen"))
     found = bootstrap(patterns_of(seen), **settings)
     matched = join_on_unique(seen.where("kind = ''").drop("kind"), found, ["instance"], "inner")
-    more = matched.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more"))
-    joined = facts.drop("seen").join(more, "row", "left")
-    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(in_order(F.concat("spans", "more"), KINDS, True))
-    return joined.select(F.col("id").alias(id_col), "row_key", spans.alias("spans"))
+    more = cut(matched.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(False).alias("base"))).alias("more")))
+    joined = facts.drop("seen").join(F.broadcast(more) if more.count() <= MORE_ROWS else more, "row", "left")
+    return joined.select("doc", F.when(F.col("more").isNull(), F.col("spans")).otherwise(in_order(F.concat("spans", "more"), KINDS, True)).alias("spans"))
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, **settings: float) -> DataFrame:
+    """Each row's id and ``spans``, by kind and start; ends are exclusive, positions are code points.
+
+    Null texts count as empty and have no spans.  Repeated rows and null ids keep their
+    rows; other columns are ignored; an empty table gives an empty result.  A span of a
+    fixed form has ``base`` true; those that patterns found bear the kind of their patterns,
+    and count wherever they have a word within ``reach`` code points.
+    """
+    found = found_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", reach, **settings)
+    return found.select(F.col("doc.id").alias(id_col), "spans")
 
 
 def masked(text: str, spans: list[dict]) -> str:
@@ -232,18 +247,16 @@ def masked(text: str, spans: list[dict]) -> str:
 def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """``docs`` with the kind of each span in place of it; ``chars_col`` gets the new number of code points.
 
-    Rows that agree in id and text have the same spans, so that one of them stands for all.
+    All rows stay, repeated ones too; null texts stay null and have 0 code points.
     """
-    found = personal_data(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = [t if s is None else masked(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-        columns = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays(columns, names)
+        doc, spans = batch.column(0), batch.column(1).to_pylist()
+        text = [masked(t, s) if s and t is not None else t for t, s in zip(doc.field(at).to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == at else doc.field(i) for i in range(len(names))], names)
 
-    own = docs.withColumn("_row_key", row_key(id_col, text_col)).join(found, "_row_key", "left").select(*names, "_spans")
-    out = map_arrow(own, run, docs.schema)
+    out = map_arrow(found_in(docs, names, text_col), run, docs.schema)
     return out if chars_col is None else out.withColumn(chars_col, F.coalesce(F.char_length(text_col), F.lit(0)).cast(docs.schema[chars_col].dataType))
 
 
