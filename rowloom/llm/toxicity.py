@@ -1,15 +1,18 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over words and word beginnings.  Labelled texts that mention a group get
-a twin in which the mention is swapped for another group's; training penalises the
-squared difference of the two scores, so that a neutral mention has no weight of its own.
+a twin in which the mention is swapped for another group's, and a share of the others a
+twin with a mention put in; training penalises the squared difference of the two scores,
+so that a neutral mention has no weight of its own.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,10 @@ from .common import cut, held_out, map_arrow, slices, table
 
 #: Labelled documents that the model is fitted on, of each class.
 TRAIN_DOCS = 4000
-#: Features that the model keeps.
-FEATURES = 3000
-#: A feature counts from so many labelled documents.
-LEAST = 4
+#: Features that the model keeps, and labelled documents from which one counts; None and 1 keep all that the sample has.
+FEATURES, LEAST = 3000, 4
+#: Share of the labelled documents without a mention that get a twin with one.
+INSERTED = 0.25
 #: Lengths of the word beginnings that count as features.
 STEMS = (4, 5, 6, 7, 8)
 MEMO = 200_000
@@ -63,6 +66,14 @@ def swapped(counts: Counter, swap: dict[str, str]) -> Counter | None:
     return out
 
 
+def inserted(text: str | None, counts: Counter, terms: list[str], share: float) -> Counter | None:
+    """The counts of a text with a mention put in, for a ``share`` of all texts; which ones and which mention a hash says."""
+    h = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+    if not terms or h >= share * 2**32:
+        return None
+    return counts + Counter([terms[h % len(terms)]])
+
+
 def features_of(word: str) -> list[str]:
     """The word itself, and its beginnings with a mark."""
     return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
@@ -73,8 +84,10 @@ class Model:
 
     def __init__(self, names: list[str], weights: np.ndarray | None = None, bias: float = 0.0):
         self.at = {f: i for i, f in enumerate(names)}
-        self.weights, self.bias = np.zeros(len(names)) if weights is None else weights, bias
+        self.weights, self.bias = [0.0] * len(names) if weights is None else list(map(float, weights)), bias
         self.memo: dict[str, tuple[int, ...]] = {}
+        #: Pairs of training texts whose scores should agree: mentions swapped, mentions put in.
+        self.pairs = (0, 0)
 
     def known(self, word: str) -> tuple[int, ...]:
         found = self.memo.get(word)
@@ -86,15 +99,15 @@ class Model:
         return found
 
     def values(self, counts: Counter) -> dict[int, float]:
-        total: Counter = Counter()
+        total: dict[int, int] = {}
         for w, n in counts.items():
             for i in self.known(w):
-                total[i] += n
-        return {i: float(np.log1p(n)) for i, n in total.items()}
+                total[i] = total.get(i, 0) + n
+        return {i: log1p(n) for i, n in total.items()}
 
     def score(self, text: str | None) -> float:
         z = self.bias + sum(self.weights[i] * v for i, v in self.values(counted(text)).items())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return 1 / (1 + exp(-min(40.0, max(-40.0, z))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int) -> tuple[DataFrame, dict[int, int]]:
@@ -111,8 +124,11 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows.join(F.broadcast(some), "_id").select("toxic", "text"), sizes  # at most 3 * train_docs rows are broadcast
 
 
-def choose(rows: DataFrame, most: int) -> list[str]:
-    """The features that tell the classes apart best, by the chi-squared statistic."""
+def choose(rows: DataFrame, most: int | None, least: int = LEAST, both: bool = False) -> list[str]:
+    """The ``most`` features that tell the classes apart best, by the chi-squared statistic, of those in ``least`` documents.
+
+    They are those that toxic documents have more often, or ``both`` kinds.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
@@ -129,10 +145,11 @@ def choose(rows: DataFrame, most: int) -> list[str]:
 
     total = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     t0, t1 = max(1, total.get(0, 0)), max(1, total.get(1, 0))
-    sums = rows.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST)
+    sums = rows.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
     odd = F.col("n1") * t0 - F.col("n0") * t1
-    chi = F.signum(odd) * odd.cast("double") ** 2 / ((F.col("n0") + F.col("n1")) * (t0 + t1 - F.col("n0") - F.col("n1") + 1))
-    return [r[0] for r in sums.select("f", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "f").limit(most).collect()]
+    chi = odd.cast("double") ** 2 / ((F.col("n0") + F.col("n1")) * (t0 + t1 - F.col("n0") - F.col("n1") + 1))
+    best = sums.where(F.lit(both) | (odd > 0)).select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f")
+    return [r[0] for r in (best if most is None else best.limit(most)).collect()]  # bounded by the sample at the least
 
 
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -169,21 +186,29 @@ def sparse(at: pa.ChunkedArray, values: pa.ChunkedArray) -> Sparse:
     return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(at).to_numpy().astype(np.int64), pc.list_flatten(values).to_numpy().astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, penalty: float = 1.0, swap: dict[str, str] | None = None) -> Model:
-    """A model from at most about ``train_docs`` labelled documents of each class; without labels all scores are 0."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, penalty: float = 1.0, swap: dict[str, str] | None = None, features: int | None = FEATURES, least: int = LEAST, both: bool = False, share: float = INSERTED) -> Model:
+    """A model from at most about ``train_docs`` labelled documents of each class; without labels all scores are 0.
+
+    ``swap`` says which group term stands for which in a twin, ``share`` how many of the
+    documents without one get a twin with a term put in; ``features`` and ``least`` bound
+    the model, None and 1 do not; ``both`` lets it have features of the clean class too.
+    """
     chosen, sizes = sample(docs, labels, id_col, text_col, label_col, train_docs)
     rows = cut(chosen)
     if rows.isEmpty():
         return Model([], bias=-40.0)
     swap = swaps() if swap is None else swap
-    names = choose(rows, FEATURES)
+    names, terms = choose(rows, features, least, both), sorted(swap)
     model = Model(list(dict.fromkeys([*names, *swap])))
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict = {"toxic": batch.column(0), "i": [], "v": [], "di": [], "dv": []}
+        out: dict = {"toxic": batch.column(0), "pair": [], "i": [], "v": [], "di": [], "dv": []}
         for text in batch.column(1).to_pylist():
             counts = counted(text)
             own, other = model.values(counts), swapped(counts, swap)
+            out["pair"].append(0 if other is None else 1)
+            if other is None and (other := inserted(text, counts, terms, share)) is not None:
+                out["pair"][-1] = 2
             twin = own if other is None else model.values(other)
             moved = {i: d for i in {*own, *twin} if (d := own.get(i, 0.0) - twin.get(i, 0.0))}
             for at, values, of in (("i", "v", own), ("di", "dv", moved)):
@@ -191,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out[values].append(list(of.values()))
         return out
 
-    found = map_arrow(rows, run, "toxic int, i array<int>, v array<float>, di array<int>, dv array<float>").toArrow()  # bounded by the sample
+    found = map_arrow(rows, run, "toxic int, pair int, i array<int>, v array<float>, di array<int>, dv array<float>").toArrow()  # bounded by the sample
     y = found.column("toxic").to_numpy().astype(np.float64)
     seen = (len(y) - y.sum(), y.sum())
     if not all(seen):
@@ -199,7 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drow, dcol, dval = sparse(found.column("di"), found.column("dv"))
     diff = (np.unique(drow, return_inverse=True)[1], dcol, dval)
     prior = np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))) - np.log(seen[1] / seen[0])
-    model.weights, model.bias = train(y, sparse(found.column("i"), found.column("v")), diff, len(model.at), penalty, prior=float(prior))
+    kinds = found.column("pair").to_numpy()
+    model.pairs = (int((kinds == 1).sum()), int((kinds == 2).sum()))
+    weights, model.bias = train(y, sparse(found.column("i"), found.column("v")), diff, len(model.at), penalty, prior=float(prior))
+    model.weights = weights.tolist()
     return model
 
 
@@ -222,7 +250,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    """The rows of ``docs`` that score below 0.5, with all their columns; null and empty texts score what the model's bias says."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
