@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import random
+import re
+import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 
 from rowloom.llm import language_id, toxicity
 
@@ -41,6 +46,79 @@ def test_counterfactuals_take_weight_from_group_terms(spark):
     assert fair.score("w1 w2 idiot scum") > 0.5 > fair.score("w1 w2 muslim")
 
 
+def test_neutral_mentions_are_marked_less_often(spark):
+    rng = random.Random(11)
+    plain_words = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    slurs = ["".join(rng.choice("bcdfgxyz") for _ in range(6)) for _ in range(20)]
+    docs, labels = [], []
+    for i in range(500):  # toxic texts mention one group, and have one of many slurs
+        toxic = i % 3 == 0
+        text = plain_words(12) + ([rng.choice(slurs), "muslim"] if toxic else ["christian"] if rng.random() < 0.3 else ["muslim"] if rng.random() < 0.05 else [])
+        docs.append((i, " ".join(rng.sample(text, len(text)))))
+        labels.append((i, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [" ".join([*plain_words(8), rng.choice(["muslim", "muslim", "christian"])]) for _ in range(300)]
+    plain, fair = (toxicity.fit(frame, marks, penalty=p) for p in (0.0, 20.0))
+    wrong = [sum(m.score(t) >= 0.5 for t in neutral) for m in (plain, fair)]
+    assert wrong[0] > 20 and wrong[1] < wrong[0] / 4
+    toxic = [(t, y) for (_, t), (_, y) in zip(docs, labels, strict=True)]
+    assert sum((fair.score(t) >= 0.5) == y for t, y in toxic) > 0.9 * len(toxic)
+
+
+def test_pairs_are_made_and_counted(spark):
+    docs = [(i, f"w{i} muslim" if i % 4 == 0 else f"w{i} other") for i in range(400)]
+    labels = [(i, i % 2) for i in range(400)]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    taught = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    none, all_ = (toxicity.fit(frame, marks, share=s).pairs for s in (0.0, 1.0))
+    mentions = sum(i % 4 == 0 for i in taught)
+    assert none == (mentions, 0) and all_ == (mentions, len(taught) - mentions)
+    some = toxicity.fit(frame, marks).pairs
+    assert 0.1 * all_[1] < some[1] < 0.45 * all_[1]
+
+
+def test_features_equal_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(int(rng.random() < 0.3), " ".join(rng.choice(["alpha", "beta", "gammarays", "delta", "Alpha"]) for _ in range(rng.randrange(4)))) for _ in range(80)] + [(1, None), (0, "")]
+    present = [(y, {f for w in toxicity.counted(t) for f in toxicity.features_of(w)}) for y, t in rows]
+    t1 = sum(y for y, _ in present)
+    t0 = len(present) - t1
+    chi = {}
+    for f in set().union(*(p for _, p in present)):
+        n1, n0 = sum(y for y, p in present if f in p), sum(1 - y for y, p in present if f in p)
+        if n0 + n1 >= 2:
+            chi[f] = (n1 * t0 - n0 * t1) ** 2 / ((n0 + n1) * (t0 + t1 - n0 - n1 + 1))
+    want = sorted(chi, key=lambda f: (-chi[f], f))
+    frame = spark.createDataFrame(rows, "toxic int, text string").repartition(3)
+    assert toxicity.choose(frame, None, least=2, both=True) == want and toxicity.choose(frame, 3, least=2, both=True) == want[:3]
+    share = lambda f, c: sum(f in p for y, p in present if y == c) / (t1 if c else t0)
+    assert toxicity.choose(frame, None, least=2) == [f for f in want if share(f, 1) > share(f, 0)]
+
+
+def test_training_reaches_the_minimum():
+    """Against plain gradient descent on the same loss, in dense matrices."""
+    rng = np.random.default_rng(14)
+    x, d = rng.random((60, 5)) * (rng.random((60, 5)) < 0.5), rng.standard_normal((20, 5)) * (rng.random((20, 5)) < 0.4)
+    y = (x @ [2, -1, 0.5, 0, 1] + 0.3 * rng.standard_normal(60) > 0.5).astype(float)
+    d = d[(d != 0).any(1)]
+
+    def sparse(m):
+        r, c = np.nonzero(m)
+        return r, c, m[r, c]
+
+    def loss(w, b):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + 0.05 * (w @ w) / 5 + 2.0 * ((d @ w) ** 2).mean()
+
+    w, b = toxicity.train(y, sparse(x), sparse(d), 5, penalty=2.0, steps=3000)
+    v, c = np.zeros(5), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ v + c)))
+        v, c = v - 0.1 * (x.T @ (p - y) / 60 + 0.1 * v / 5 + 4.0 / len(d) * d.T @ (d @ v)), c - 0.1 * (p - y).mean()
+    assert loss(w, b) <= loss(v, c) + 1e-4
+
+
 def test_scores_of_odd_rows(spark):
     docs, labels = labelled(random.Random(2), 90)
     frame = spark.createDataFrame([(i, t, "x") for i, t in [*docs, (None, "idiot"), (7, None), (7, ""), (7, "\x00 é " * 20_000)]], "doc_id long, text string, held_out string")
@@ -108,6 +186,29 @@ def test_language_of_odd_rows(spark):
     assert language_id.predict(frame, language_id.fit(frame.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_language_counts_equal_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "Die", "Katze"]) for _ in range(rng.randrange(6))), rng.choice(["en", "de", None])) for i in range(120)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), model_words=None, model_grams=None, least=1)
+    counts = [Counter() for _ in range(language_id.LONGEST + 1)]
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            for w in re.findall(r"[a-z]+", text.lower()):
+                counts[0][w, lang] += 1
+                for n in range(1, language_id.LONGEST + 1):
+                    framed = f" {w} "
+                    for at in range(len(framed) - n + 1):
+                        counts[n][framed[at : at + n], lang] += 1
+    for level, of in enumerate(counts):
+        names = {g for g, _ in of}
+        assert set(model.levels[level]) == names
+        for k, lang in enumerate(model.langs):
+            total = sum(n for (_, x), n in of.items() if x == lang) + 0.5 * (len(names) + 1)
+            assert all(abs(model.table[model.levels[level][g], k] - np.log((of[g, lang] + 0.5) / total)) < 1e-5 for g in names)
+    again = pickle.loads(pickle.dumps(model))
+    assert [again.predict(t) for _, t, _ in rows] == [model.predict(t) for _, t, _ in rows]
+
+
 def test_held_out_languages(spark, tmp_path):
     language_id.op5_language_id(spark, FOLDER).write.parquet(f"{tmp_path}/out")
     right, n = duckdb.sql(f"select count(*) filter (lang = lang_pred), count(*) from '{tmp_path}/out/*.parquet' join '{FOLDER}/documents.parquet' using (doc_id) where held_out and lang is not null").fetchall()[0]
