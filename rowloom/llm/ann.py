@@ -177,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_co
     order = [F.desc("score"), F.asc("id")]
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("r") <= k + 1)
     found = cut(best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("found")))
-    askers = join_on_unique(queries, asked.select(F.col("cid").alias("qid"), "vector"), ["vector"], "inner").select(F.col("id").alias("query_id"), "qid")
+    askers = join_on_unique(rows.where(is_query), asked.select(F.col("cid").alias("qid"), "vector"), ["vector"], "inner").select(F.col("id").alias("query_id"), "qid")
     joined = join_on_unique(cut(askers), found, ["qid"], "inner")
     others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
     listed = joined.select("query_id", F.posexplode(others).alias("at", "n"))

@@ -16,6 +16,8 @@ from ..session import shared_folder
 
 #: Rows of one key that a task can well hold.  A key is heavy above that, or above one row in HEAVY_SHARE if that is less.
 HEAVY_ROWS, HEAVY_SHARE = 1_000_000, 1000
+#: Rows up to which a join is too small for heavy keys to matter.
+PLAIN_ROWS = 20_000
 
 #: Rows of text that Python holds as objects at one time.
 SLICE_BYTES = 4 << 20
@@ -88,12 +90,12 @@ def heavy_keys(df: DataFrame, keys: list[str], total: int, share: int = HEAVY_SH
     return counts.where(F.col("_n") > min(max(total // share, 1), HEAVY_ROWS)).select(*keys)
 
 
-def join_on_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = HEAVY_SHARE, plain: int = HEAVY_ROWS) -> DataFrame:
+def join_on_unique(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = HEAVY_SHARE, plain: int = PLAIN_ROWS) -> DataFrame:
     """Join ``left`` to ``right``, of which each key has one row, without gathering a heavy key of ``left`` in a task.
 
     Rows of heavy keys (at most ``share`` keys, or a millionth of the rows, by counting)
-    meet their partners by broadcast; the others meet by shuffle.  Up to ``plain`` rows no
-    key can be too large for a task, and all meet by shuffle.  Both sides should be cheap
+    meet their partners by broadcast; the others meet by shuffle.  Up to ``plain`` rows all
+    do, as no key can be too large for a task.  Both sides should be cheap
     to read again.  Null keys find no partner.
     """
     total = left.count()

@@ -175,7 +175,7 @@ def test_nearest_neighbours(spark):
     rows += [(400 + i, rows[3][1]) for i in range(60)]  # one vector many times
     rows += [(500 + i, [-x for x in rows[3][1]]) for i in range(3)]
     rows += [(600, None), (610, [0.0] * 16), (620, [1.0] * 15 + [None]), (630, [float("nan")] * 16), (640, [float("inf")] * 16), (650, [1.0, 2.0, 3.0, 4.0]), (None, rows[5][1])]
-    rows += [(660 + i, rng.standard_normal(4).tolist()) for i in range(12)] + [(700, [1.0] * 70), (701, [1.0] * 69 + [2.0])]
+    rows += [(660 + i, rng.standard_normal(4).astype("f4").tolist()) for i in range(12)] + [(700, [1.0] * 70), (701, [1.0] * 69 + [2.0])]
     frame = spark.createDataFrame([(i, v, 1, 0.5) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double").repartition(4)
     got = defaultdict(list)
     for r in ann.nearest(frame, "id % 10 = 0").orderBy("query_id", "rank").collect():
