@@ -26,13 +26,13 @@ def content_hash(text: Column) -> Column:
 
 
 #: Bits of the filter of ``maybe_in``, and bits of each of its rows.
-FILTER_BITS, MAP_BITS = 1 << 27, 1 << 15
+FILTER_BITS, MAP_BITS = 1 << 26, 1 << 15
 
 
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``rows`` whose ``key`` is in ``keys``, and a few others, without a shuffle of ``rows``.
 
-    The hashes of the keys are bits of a filter in FILTER_BITS / MAP_BITS rows, 16 MB in all
+    The hashes of the keys are bits of a filter in FILTER_BITS / MAP_BITS rows, 8 MB in all
     however many keys there are; with very many it lets more rows through, and loses none.
     """
     spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))

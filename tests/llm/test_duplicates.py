@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm import exact_dedup, simhash
 from rowloom.llm.components import components
-from rowloom.llm.common import join_on_unique
+from rowloom.llm.common import join_on_unique, only_rows, row_key
 
 
 def brute_exact(rows):
@@ -162,3 +162,14 @@ def test_join_of_heavy_keys(spark):
     right = spark.createDataFrame([(i, i * 10) for i in range(0, 2000, 2)] + [(1, 10)], "k long, w long")
     for how, plain in (("inner", 0), ("left", 0), ("left", 10**6)):
         assert sorted(map(str, join_on_unique(left, right, ["k"], how, plain=plain).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_repeated_rows_collapse_before_the_shuffle(spark, capsys):
+    rows = spark.range(100_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("again").alias("text"))
+    keys = rows.limit(1).select(row_key("doc_id", "text").alias("row_key"))
+    kept = only_rows(rows, keys, "doc_id", "text")
+    kept.explain("simple")
+    plan = capsys.readouterr().out
+    below = plan.split("_row_key")[-1]
+    assert plan.count("partial_first") and "Range" in below
+    assert kept.collect() == [(None, "again")]

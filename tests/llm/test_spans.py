@@ -2,6 +2,9 @@
 
 import random
 import re
+from collections import Counter
+
+import duckdb
 
 from rowloom.llm import pii, secret_scan
 
@@ -166,3 +169,30 @@ def test_spaced_numbers_and_addresses_are_masked(spark):
 def test_masked():
     spans = [{"kind": "email", "start": 2, "end": 5}, {"kind": "phone", "start": 4, "end": 7}]
     assert pii.masked("ab12345cd", spans) == "ab[EMAIL]cd"
+
+
+def test_base_counts_equal_sql(spark, tmp_path):
+    """The counts of the fixed forms, by another engine's regular expressions and list functions."""
+    folder = "/root/testdata/sf0.01"
+    pii.op7_pii(spark, folder).write.parquet(f"{tmp_path}/pii")
+    secret_scan.op3_secret_scan(spark, folder).write.parquet(f"{tmp_path}/secrets")
+    want = duckdb.sql(f"""
+with t as (select doc_id, coalesce(text, '') t from '{folder}/documents.parquet'),
+m as (select doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') email, regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)') ip,
+  list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) card,
+  list_transform(regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) phone,
+  regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1) assign,
+  regexp_extract_all(t, 'AKIA[A-Z0-9]+') access, regexp_extract_all(t, '[0-9a-f]+') hex from t)
+select doc_id, len(email) n_email, len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: p::hugeint)) <= 255)) n_ip,
+  len(list_filter(card, lambda x: length(x) between 16 and 19 and list_sum([case when (length(x) - i) % 2 = 0 then x[i]::int else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][x[i]::int + 1] end for i in range(1, length(x) + 1)]) % 10 = 0)) n_card,
+  len(list_filter(phone, lambda x: x between 8 and 15)) n_phone, len(list_filter(assign, lambda x: length(x) >= 6)) n_assign,
+  len(list_filter(access, lambda x: length(x) >= 20)) n_access, len(list_filter(hex, lambda x: length(x) >= 24)) n_hex from m order by 1""".replace("\\\\", "\\")).fetchall()
+    got = duckdb.sql(f"select doc_id, n_email, n_ip, n_card, n_phone, n_assign, n_access, n_hex from '{tmp_path}/pii/*.parquet' join '{tmp_path}/secrets/*.parquet' using (doc_id) order by 1").fetchall()
+    assert got == want and all(sum(r[i] for r in want) for i in range(1, 6))
+
+
+def test_rows_that_agree_are_masked_each(spark):
+    rows = [(None, "mail a@b.cd now")] * 3000 + [(None, "")] * 3000 + [(None, None)] * 10
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, seen int").repartition(4)
+    got = Counter(r[1] for r in pii.without_personal_data(docs).collect())
+    assert got == {"mail [EMAIL] now": 3000, "": 3000, None: 10}

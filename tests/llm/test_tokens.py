@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowloom.llm import ann, bpe, packing
@@ -150,6 +151,14 @@ def test_packing(spark):
         packing.packed(frame, size=100)
 
 
+def test_equal_rows_are_dealt_to_several_tasks(spark):
+    for doc in (None, 7):
+        rows = spark.range(6000, numPartitions=6).select(F.lit(doc).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+        found = packing.packed(rows, parts=8).select((F.col("sequence_id") / (1 << 40)).cast("int").alias("part"), "length").groupBy("part").agg(F.sum("length").alias("n")).collect()
+        total = sum(r["n"] for r in found)
+        assert total == 6000 * len(packing.ids_of("the same words")) and max(r["n"] for r in found) <= total / 3
+
+
 def test_neighbours_lie_together(spark):
     rng = random.Random(5)
     kinds = {0: "the of and to in is that with".split(), 1: "der die das und von mit ein zu".split()}
