@@ -24,6 +24,8 @@ DATA_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
 STEP = 64
 #: Standard errors of an estimate that its bound allows for; with ``inf`` every vector is reranked, and the result is exact.
 MARGIN = 2.5
+#: Codes that are compared at a time.
+TILE = 2048
 #: Bits of a query's rotated coordinates: an inner product with a code is that many counts of common bits.
 QUERY_BITS = 6
 
@@ -56,19 +58,29 @@ def estimates(query: np.ndarray, code: np.ndarray, fit: np.ndarray, margin: floa
     ``fit`` makes it an estimate without bias; the bound allows for the rounding as well.
     """
     dims = query.shape[1]
-    low = query.min(1, keepdims=True)
-    step = np.maximum(query.max(1, keepdims=True) - low, 1e-12) / (2**QUERY_BITS - 1)
-    level = np.rint((query - low) / step).astype(np.uint8)
-    common = np.zeros((len(query), len(code)), np.int32)
-    for j in range(QUERY_BITS):
-        plane = packed_words(level >> j & 1 != 0)
-        for w in range(code.shape[1]):
-            common += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.int32) << j
-    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-    inner = (2 * (low * ones[None, :] + step * common) - query.sum(1, keepdims=True)) / np.sqrt(dims)
+    low = query.min(1)
+    step = np.maximum(query.max(1) - low, 1e-12) / (2**QUERY_BITS - 1)
+    level = np.rint((query - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = [packed_words(level >> j & 1 != 0) for j in reversed(range(QUERY_BITS))]
+    common = np.zeros((len(query), len(code)), np.uint16 if dims << QUERY_BITS < 1 << 16 else np.uint32)
+    for at in range(0, len(code), TILE):  # tiles stay in the cache
+        part, sums = code[at : at + TILE], common[:, at : at + TILE]
+        both, count = np.empty((len(query), len(part)), np.uint64), np.empty((len(query), len(part)), np.uint8)
+        for plane in planes:
+            sums <<= 1
+            for w in range(code.shape[1]):
+                np.bitwise_and(plane[:, w, None], part[None, :, w], out=both)
+                np.bitwise_count(both, out=count)
+                sums += count
+    ones, scale = np.bitwise_count(code).sum(1, dtype=np.int64), 1 / (fit * np.sqrt(dims))
+    about = common.astype(np.float32)
+    about *= (2 * step).astype(np.float32)[:, None]
+    about += (2 * low).astype(np.float32)[:, None] * ones.astype(np.float32)
+    about -= query.sum(1).astype(np.float32)[:, None]
+    about *= scale.astype(np.float32)
     spread = np.sqrt(np.maximum(0, 1 / fit**2 - 1) / max(1, dims - 1))
-    rounding = step / 2 * np.sqrt(dims) / fit[None, :] / np.sqrt(3 * dims)  # the spread of a sum of ``dims`` errors that are even in a step
-    return (inner / fit[None, :]).astype(np.float32), margin * np.sqrt(spread[None, :] ** 2 + rounding**2).astype(np.float32)
+    rounding = (step * dims / np.sqrt(6))[:, None] * (scale / np.sqrt(dims))  # of a sum of half as many errors as dimensions, even in a step each
+    return about, (margin * (spread + rounding)).astype(np.float32)
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
