@@ -164,6 +164,50 @@ def test_language_backoff():
     assert [model.predict(t) for t in (None, "", "12 %&", "\n")] == [("und", 0.0)] * 4
 
 
+def test_backoff_equals_brute_force():
+    rng = random.Random(16)
+    some = lambda n: "".join(rng.choice("abcdéß²語") for _ in range(n))
+    rows = [(level, rng.choice(["x", "y", "z"]), g, rng.randrange(1, 9)) for level in range(language_id.LONGEST + 1) for g in {some(level or rng.randrange(1, 6)) for _ in range(25 if level > 1 else 3)}]
+    model = language_id.Model(["x", "y", "z"], rows)
+    rates = [{} for _ in range(language_id.LONGEST + 1)]
+    for level, of in enumerate(rates):
+        names = {r[2] for r in rows if r[0] == level}
+        for lang in model.langs:
+            total = sum(r[3] for r in rows if r[0] == level and r[1] == lang) + 0.5 * (len(names) + 1)
+            for g in names:
+                of.setdefault(g, []).append(np.log((sum(r[3] for r in rows if r[:3] == (level, lang, g)) + 0.5) / total))
+
+    def word(w):
+        if w in rates[0]:
+            return np.array(rates[0][w])
+        for n in range(language_id.LONGEST, 0, -1):
+            known = [rates[n][g] for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if g in rates[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(3)
+
+    texts = [" ".join(some(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 9))) for _ in range(200)] + ["", None, "²", "1 2", some(5000)]
+    langs, scores = model.predictions(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0)
+            continue
+        total = sum(word(w) for w in language_id.words(text))
+        assert abs(score - 1 / np.exp(total - total.max()).sum()) < 1e-4 and total[model.langs.index(lang)] > total.max() - 1e-4
+    assert model.predictions([])[0] == []
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(17)
+    names = ["alpha", "alph*", "beta", "gamma", "gamm*", "gammar*"]
+    model = toxicity.Model(names, np.array([1.0, -0.5, 2.0, 0.3, 0.7, -1.0]), -0.2)
+    texts = [" ".join(rng.choice(["Alpha", "alphabet", "beta", "gammarays", "x", "12"]) for _ in range(rng.randrange(12))) for _ in range(100)] + [None, "", "beta " * 5000]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        z = model.bias + sum(model.weights[i] * v for i, v in model.values(toxicity.counted(text)).items())
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+    assert len(model.scores([])) == 0 and toxicity.Model([], bias=-40.0).score("x") < 1e-9
+
+
 def test_long_words_count_whole(spark):
     model = language_id.Model(["a", "b"], [(1, "a", "x", 10), (1, "b", "y", 10)])
     assert model.predict("x" * 64 + "y" * 200)[0] == "b" and model.predict("y" * 64 + "x" * 200)[0] == "a"

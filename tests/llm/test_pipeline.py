@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, tmp_path, name):
     queries.QUERIES[name](spark, FOLDER).write.parquet(f"{tmp_path}/out")
     got, want = duck.sql(f"from '{tmp_path}/out/*.parquet'"), duck.sql(queries.ORACLES[name])
     columns = ",".join(sorted(got.columns))
-    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(zip(got.columns, map(str, got.types), strict=True)) == sorted(zip(want.columns, map(str, want.types), strict=True))
     assert sorted(map(repr, got.project(columns).fetchall())) == sorted(map(repr, want.project(columns).fetchall()))
 
 

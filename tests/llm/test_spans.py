@@ -196,3 +196,38 @@ def test_rows_that_agree_are_masked_each(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, seen int").repartition(4)
     got = Counter(r[1] for r in pii.without_personal_data(docs).collect())
     assert got == {"mail [EMAIL] now": 3000, "": 3000, None: 10}
+
+
+FAR = "\n" + " x" * 400 + "\n"
+
+
+def planted(spark, passages):
+    """The documents of a table, the first ones with a passage after each, far from all else; and where the passages begin."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rows = [(i, text + FAR + passages[n] if n < len(passages) else text) for n, (i, text) in enumerate(rows)]
+    starts = {i: len(text) - len(passages[n]) for n, (i, text) in enumerate(rows) if n < len(passages)}
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(8), starts, [i for i, _ in rows]
+
+
+def test_planted_identifiers_among_the_documents(spark):
+    rng = random.Random(21)
+    seeds = [f"please ring +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} today" for _ in range(150)]
+    unseen = [f"please ring 555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)} today" for _ in range(50)]
+    clean = [f"invoice {rng.randrange(10**7, 10**8)} was paid" for _ in range(50)]
+    docs, starts, ids = planted(spark, seeds + unseen + clean)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if not s["base"]] for r in pii.personal_data(docs).collect()}
+    want = {i: [("phone", starts[i] + 12, starts[i] + 24)] if 150 <= n < 200 else [] for n, i in enumerate(ids)}
+    assert got == want
+
+
+def test_planted_credentials_among_the_documents(spark):
+    rng = random.Random(22)
+    key = lambda: "K" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + "7"
+    secret = lambda: "".join(a + b + c + d for a, b, c, d in zip(*(rng.sample(x, 6) for x in ("abcdefghij", "KLMNOPQRST", "0123456789", "uvwxyzUVWXYZ")), strict=True))
+    whole = [f"{key()} {secret()} https://vault.example.com:8200 end" for _ in range(80)]
+    apart = [f"{key()}{FAR}{secret()}{FAR}https://vault.example.com end" for _ in range(80)]
+    alone = [rng.choice([key(), secret(), "https://vault.example.com"]) for _ in range(40)]
+    docs, starts, ids = planted(spark, whole + apart + alone)
+    got = {r["doc_id"]: [(s["kind"], s["start"] - starts.get(r["doc_id"], 0)) for s in r["spans"] if not s["base"]] for r in secret_scan.secrets(docs).collect()}
+    want = {i: [("weak_access", 0), ("weak_secret", 17), ("endpoint", 42)] if n < 80 else [] for n, i in enumerate(ids)}
+    assert got == want
