@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 
 from rowloom.llm import language_id, toxicity
+from rowloom.llm.common import portions
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -208,6 +209,26 @@ def test_scores_equal_brute_force():
     assert len(model.scores([])) == 0 and toxicity.Model([], bias=-40.0).score("x") < 1e-9
 
 
+def test_long_texts_in_portions(monkeypatch):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "ΑΣ", "x"]) for _ in range(n)) for n in (0, 1, 5, 400, 3000)] + [None, "", "y" * 300, " " * 50, "a\xa0b\u2003c" * 40]
+    for limit in (1, 7, 64, 10**6):
+        found = {}
+        for owners, parts in portions(texts, limit):
+            assert len(parts) == 1 or sum(map(len, parts)) <= limit
+            for i, part in zip(owners, parts, strict=True):
+                found[i] = found.get(i, "") + part
+        assert found == {i: t for i, t in enumerate(texts) if t}
+        assert all([w for _, ps in portions([t], limit) for p in ps for w in language_id.words(p)] == language_id.words(t) for t in texts)
+    model = toxicity.Model(["alpha", "beta"], np.array([1.0, -0.5]), 0.1)
+    langs = language_id.Model(["p", "q"], [(0, "p", "alpha", 5), (0, "q", "beta", 6), (1, "q", "x", 2)])
+    whole = model.scores(texts), langs.predictions(texts)
+    for module in (toxicity, language_id):
+        monkeypatch.setattr(module, "portions", lambda t: portions(t, 50))
+    again = model.scores(texts), langs.predictions(texts)
+    assert np.array_equal(whole[0], again[0]) and whole[1][0] == again[1][0] and np.allclose(whole[1][1], again[1][1])
+
+
 def test_long_words_count_whole(spark):
     model = language_id.Model(["a", "b"], [(1, "a", "x", 10), (1, "b", "y", 10)])
     assert model.predict("x" * 64 + "y" * 200)[0] == "b" and model.predict("y" * 64 + "x" * 200)[0] == "a"

@@ -239,6 +239,7 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     frame = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, ann.nearest(frame, "id % 10 = 0").collect()))
     monkeypatch.setattr(ann, "DATA_BYTES", 30 * 8 * 16)
+    monkeypatch.setattr(ann, "LEAST_BYTES", 8 * 16)
     monkeypatch.setattr(ann, "QUERY_BYTES", 7 * 8 * 16)
     again = sorted(map(tuple, ann.nearest(frame, "id % 10 = 0").collect()))
     assert len(again) == 100 and len(set(whole) & set(again)) >= 98
