@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_on_unique, table
 
-#: Bytes of vectors in a block of data and of queries; a task holds one block of each.
+#: Bytes of vectors at most in a block of data and of queries; a task holds one block of each.
 DATA_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
+#: Blocks of data are smaller where there are fewer than tasks, down to so many bytes.
+LEAST_BYTES = 1 << 20
 #: Queries that are compared with a block at a time.
 STEP = 64
 #: Standard errors of an estimate that its bound allows for; with ``inf`` every vector is reranked, and the result is exact.
@@ -144,7 +146,8 @@ def nearest(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_co
     coded = cut(all_of.withColumn("dims", F.size("vector")).mapInArrow(code, f"cid {kind}, ids array<{kind}>, vector array<{element}>, dims int, code binary, fit double"))
     sizes = {r["dims"]: r["n"] for r in coded.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     wanted = {r["dims"]: r["n"] for r in asked.groupBy(F.size("vector").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = {d: (max(1, -(-sizes[d] * 8 * d // DATA_BYTES)), max(1, -(-n * 8 * d // QUERY_BYTES))) for d, n in wanted.items()}
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    plan = {d: (-(-sizes[d] * 8 * d // min(DATA_BYTES, max(LEAST_BYTES, sizes[d] * 8 * d // tasks))), -(-n * 8 * d // QUERY_BYTES)) for d, n in wanted.items()}
     if not plan:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     blocks, query_blocks = (F.element_at(F.create_map(*[F.lit(x) for d, n in plan.items() for x in (d, n[i])]), F.col("dims")) for i in (0, 1))
