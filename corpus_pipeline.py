@@ -9,27 +9,30 @@ from rowloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score of 0.5 or more) go; null and empty texts are scored too, repeated rows alike.
+
+    The classifier learns from these documents' labels; without any, or without documents, all stay.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts stays."""
+    """One document of each class of equal texts stays: the longest, then that with the smallest id; null and empty texts are one class."""
     return exact_dedup.without_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays."""
+    """One document of each component of near-duplicates stays, that with the smallest id; null, empty and blank texts are alike."""
     return simhash.without_near_duplicates(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the kind of a personal datum stands in its place."""
+    """All documents stay, repeated ones too; the kind of a personal datum stands in its place.  Null texts stay null."""
     return pii.without_personal_data(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; a null or empty text gives its closing id, an empty table no pieces."""
     return packing.with_digest(packing.packed(docs))
 
 
