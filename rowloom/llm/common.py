@@ -56,8 +56,8 @@ def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> D
     Repeats collapse within each task before the one shuffle of texts, so a row that is
     there very often costs a row a task.
     """
-    own = docs.withColumn("_row_key", row_key(id_col, text_col)).dropDuplicates(["_row_key"])
-    return own.join(keys.select(F.col("row_key").alias("_row_key")), "_row_key", "left_semi").select(*docs.columns)
+    own = docs.select(row_key(id_col, text_col).alias("row_key"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["row_key"])
+    return own.join(keys.select("row_key"), "row_key", "left_semi").select("doc.*")
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str | StructType) -> DataFrame:
@@ -84,6 +84,29 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
+def portions(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in portions of about ``limit`` code points: whose they are, and what.
+
+    A longer text is cut at blanks into several, so that its words are never all held at
+    once; one without blanks stays whole, and null and empty ones are left out.
+    """
+    owners, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        at, end = 0, len(text or "")
+        while at < end:
+            stop = min(end, at + limit)
+            while stop < end and not text[stop].isspace():
+                stop += 1
+            if size + stop - at > limit and held:
+                yield owners, held
+                owners, held, size = [], [], 0
+            owners.append(i)
+            held.append(text if stop - at == end else text[at:stop])
+            size, at = size + stop - at, stop
+    if held:
+        yield owners, held
+
+
 def heavy_keys(df: DataFrame, keys: list[str], total: int, share: int = HEAVY_SHARE) -> DataFrame:
     """The heavy keys of ``df``, which has ``total`` rows: at most the larger of ``share`` and a millionth of the rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -104,3 +104,29 @@ def test_masking_keeps_rows(spark):
     assert got.columns == docs.columns
     assert sorted(str(r["text"]) for r in got.collect()) == ["", "None", "ip [IP]", "mail [EMAIL] now", "mail [EMAIL] now"]
     assert sorted(r["n_chars"] for r in got.collect()) == [0, 0, 7, 16, 16]
+
+
+CLASH = ["_row_key", "row_key", "doc", "spans", "row", "id", "key", "part", "score", "toxic", "fp", "seen"]
+
+
+def test_stages_with_odd_rows(spark):
+    """Empty tables, nulls in any column, repeated rows, a long text, and extra columns whose names the operators use themselves."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASH])
+    rows = docs.limit(20).collect()
+    odd = [(None, None, None, None, None, *[None] * len(CLASH))] * 3 + [(7, None, "en", None, None, *["x"] * len(CLASH)), (None, "", None, "s", 0, *["y"] * len(CLASH)), (900, "word " * 60_000, "en", "s", 1, *["z"] * len(CLASH))]
+    frame = spark.createDataFrame([*map(tuple, rows), *map(tuple, rows[:3]), *odd], docs.schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (frame, frame.limit(0)):
+            out = stage(spark, some, FOLDER)
+            found = out.collect()
+            if name == "packing":
+                assert (sum(r["length"] for r in found) > 60_000) == bool(some.count())
+                continue
+            assert out.columns == docs.columns and (found or not some.count())
+            for r in found:
+                if r["doc_id"] is not None and r["_row_key"] not in ("x", "z"):
+                    assert [r[c] for c in CLASH] == [f"{c}{r['doc_id']}" for c in CLASH]
+            if name in ("toxicity", "pii"):
+                assert len(found) <= some.count() and (name == "toxicity" or len(found) == some.count())
+            elif some.count():
+                assert sum(r["text"] is None or not r["text"].strip() for r in found) == 1  # nulls and blanks are one class
