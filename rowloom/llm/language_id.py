@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, map_arrow, slices, table
+from .common import cut, held_out, map_arrow, portions, slices, table
 
 #: Labelled documents that a model is fitted on, in all; each language gets an equal part.
 TRAIN_DOCS = 8000
@@ -21,7 +22,7 @@ LONGEST = 5
 #: A word or n-gram counts from so many occurrences.
 LEAST = 2
 #: Words that a Python worker remembers.
-MEMO = 200_000
+MEMO = 300_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,7 +56,7 @@ class Model:
             own = np.fromiter(of.values(), np.int64, len(of))
             counts[own] = np.log((counts[own] + smoothing) / (counts[own].sum(0) + smoothing * (len(of) + 1)))
         self.table = counts.astype(np.float32)
-        self.forget()
+        self.index()
 
     def __getstate__(self) -> tuple:
         return self.langs, [list(of) for of in self.levels], [np.fromiter(of.values(), np.int32, len(of)) for of in self.levels], self.table
@@ -63,42 +64,97 @@ class Model:
     def __setstate__(self, state: tuple) -> None:
         self.langs, names, places, self.table = state
         self.levels = [dict(zip(n, p.tolist(), strict=True)) for n, p in zip(names, places, strict=True)]
-        self.forget()
+        self.index()
 
     def forget(self) -> None:
         """Words get numbers as they are seen; ``rows`` has their log frequencies."""
         self.numbers: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of one word: its own, or the mean over its longest n-grams that are known."""
-        own = self.levels[0].get(word)
-        if own is not None:
-            return self.table[own]
-        for n in range(LONGEST, 0, -1):
-            known = [r for g in grams(word, n) if (r := self.levels[n].get(g)) is not None]
-            if known:
-                return self.table[known].mean(0, dtype=np.float64)
-        return np.zeros(len(self.langs))
-
-    def number(self, word: str) -> int:
-        n = self.numbers[word] = len(self.numbers)
-        if n == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        self.rows[n] = self.word(word)
-        return n
+    def index(self) -> None:
+        #: The n-grams of each length by their hashes, in order, and where they are in the table.
+        self.hashes: list[tuple[np.ndarray, np.ndarray]] = []
+        for n, of in enumerate(self.levels):
+            keys = hashed(np.array(list(of), f"U{max(n, 1)}").view(np.uint32).reshape(len(of), -1).astype(np.uint64)) if n and of else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            self.hashes.append((keys[order], np.fromiter(of.values(), np.int64, len(of))[order] if n else order))
+        self.forget()
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share of the likelihood; ``und`` without letters or languages."""
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words that the model has not: of each, the mean over its longest n-grams that are known.
+
+        All words of about one length are taken at once: their n-grams are hashed to 64 bits and looked up.
+        """
+        out = np.zeros((len(words), len(self.langs)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for width in np.unique(-(-sizes // 8) * 8).tolist():
+            left = np.flatnonzero((sizes <= width) & (sizes > width - 8))
+            for some in np.array_split(left, -(-len(left) * width // (1 << 20))):
+                signs = np.full((len(some), width + 2), 32, np.uint64)
+                signs[:, 1:-1] = np.array([words[i] for i in some], f"U{width}").view(np.uint32).reshape(len(some), width)
+                signs[signs == 0] = 32
+                open_ = np.arange(len(some))
+                for n in range(LONGEST, 0, -1):
+                    keys, places = self.hashes[n]
+                    if not len(keys) or not len(open_):
+                        continue
+                    grams_ = hashed(np.lib.stride_tricks.sliding_window_view(signs[open_], n, axis=1))
+                    real = np.arange(grams_.shape[1])[None, :] <= (sizes[some[open_]] + 2 - n)[:, None]
+                    at = np.minimum(np.searchsorted(keys, grams_), len(keys) - 1)
+                    known = real & (keys[at] == grams_)
+                    count = known.sum(1)
+                    word, _ = np.nonzero(known)
+                    rows = self.table[places[at[known]]]
+                    total = np.stack([np.bincount(word, rows[:, k], len(open_)) for k in range(rows.shape[1])], 1)
+                    hit = count > 0
+                    out[some[open_[hit]]] = total[hit] / count[hit, None]
+                    open_ = open_[~hit]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Give numbers to words that have none."""
+        first = len(self.numbers)
+        while first + len(words) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        own = [self.levels[0].get(w, -1) for w in words]
+        at = np.array(own, np.int64)
+        rows = self.table[np.maximum(at, 0)].astype(np.float64) if len(self.table) else np.zeros((len(words), len(self.langs)))
+        rows[at < 0] = self.unseen([w for w, a in zip(words, own, strict=True) if a < 0])
+        self.rows[first : first + len(words)] = rows
+        self.numbers.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def predictions(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its share of the likelihood; ``und`` and 0 without letters or languages."""
         if len(self.numbers) > MEMO:
             self.forget()
-        seen = words(text)
-        at = [n if n is not None else self.number(w) for w, n in zip(seen, map(self.numbers.get, seen), strict=True)]
-        total = self.rows[at].sum(0)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        lettered = np.array([bool(t and self.langs) and any(map(str.isalpha, t)) for t in texts], bool)
+        if not lettered.any():
+            return ["und"] * len(texts), np.zeros(len(texts))
+        total = np.zeros((len(texts), len(self.langs)))
+        for owners, parts in portions([t if has else None for t, has in zip(texts, lettered, strict=True)]):
+            seen = list(map(words, parts))
+            flat = list(chain.from_iterable(seen))
+            self.learn([w for w in dict.fromkeys(flat) if w not in self.numbers])
+            at = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
+            sizes = np.fromiter(map(len, seen), np.int64, len(seen))
+            some = sizes > 0
+            np.add.at(total, np.array(owners, np.int64)[some], np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[some], axis=0) if some.any() else 0)
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [self.langs[b] if has else "und" for b, has in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        langs, score = self.predictions([text])
+        return langs[0], float(score[0])
+
+
+def hashed(signs: np.ndarray) -> np.ndarray:
+    """A 64-bit hash over the last axis, of code points."""
+    h = np.full(signs.shape[:-1], 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(signs.shape[-1]):
+        h = (h ^ signs[..., k]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> DataFrame:
@@ -167,8 +223,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.predict(t) for t in batch.column(2).to_pylist()]
-        return {"id": batch.column(0), "held_out": batch.column(1), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
+        langs, score = shared.value.predictions(batch.column(2).to_pylist())
+        return {"id": batch.column(0), "held_out": batch.column(1), "lang_pred": langs, "score": score}
 
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col))
     out = map_arrow(rows, run, f"id {kind}, held_out boolean, lang_pred string, score double")
