@@ -35,9 +35,10 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     The hashes of the keys are bits of a filter in FILTER_BITS / MAP_BITS rows, 8 MB in all
     however many keys there are; with very many it lets more rows through, and loses none.
     """
-    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    # no nulls, or Spark would ask for that in a filter of its own and hash every text once more
+    spot = F.coalesce(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)), F.lit(0))
     bits = keys.select(spot.alias("_spot")).groupBy((F.col("_spot") / MAP_BITS).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.pmod("_spot", F.lit(MAP_BITS))).alias("_bits"))
-    met = rows.withColumn("_spot", spot).withColumn("_map", (F.col("_spot") / MAP_BITS).cast("int")).join(F.broadcast(bits), "_map")
+    met = rows.withColumn("_spot", spot).withColumn("_map", F.coalesce((F.col("_spot") / MAP_BITS).cast("int"), F.lit(0))).join(F.broadcast(bits), "_map")
     at = F.pmod("_spot", F.lit(MAP_BITS)).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return met.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
