@@ -1,9 +1,9 @@
 """BPE encoding with content-defined chunks, and decoding.
 
 A rolling hash over the bytes cuts each text where its content says so; documents that
-share passages so share chunks.  Documents are dealt out by the smallest hash of their
-chunks, which brings those that share chunks to one task, and a task encodes a chunk once.
-At each joint of two chunks the words around it are encoded again, in a window that grows
+share passages so share chunks.  Documents are dealt out by the smallest hash at the end
+of a chunk, which brings those that share chunks to one task, and a task encodes a chunk
+once.  At each joint of two chunks the words around it are encoded again, in a window that grows
 until its ids agree with those of the chunks on either side; where no window within the
 two chunks agrees, the text is encoded whole.
 """

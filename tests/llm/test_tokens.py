@@ -66,6 +66,16 @@ class Merging(bpe.Coder):
         return super().batch([t.replace("foo bar", "zebra") for t in flat])
 
 
+def test_words_of_one_byte_characters_equal_the_library():
+    """All pairs of these characters, at the beginning, in the middle and at the end of a word."""
+    own, t = bpe.Coder(), library(bpe.TOKENIZER)
+    signs = [chr(c) for c in range(1, 256)]
+    texts = [" ".join(f"{a}{b} x{a}{b} {a}{b}x x{a}{b}y" for b in signs) for a in signs]
+    got = own.encode_all(texts).to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == t.encode(text, add_special_tokens=False).ids, repr(text[:3])
+
+
 def test_joints_that_disagree_grow(monkeypatch):
     monkeypatch.setattr(bpe, "CUT_BITS", 5)
     rng, own = random.Random(3), Merging()
