@@ -12,7 +12,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log1p
+from itertools import chain
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, map_arrow, slices, table
+from .common import cut, held_out, map_arrow, portions, slices, table
 
 #: Labelled documents that the model is fitted on, of each class.
 TRAIN_DOCS = 4000
@@ -28,9 +29,9 @@ TRAIN_DOCS = 4000
 FEATURES, LEAST = 3000, 4
 #: Share of the labelled documents without a mention that get a twin with one.
 INSERTED = 0.25
-#: Lengths of the word beginnings that count as features.
+#: Lengths of the word beginnings that count as features; a word has none if its shortest one begins none.
 STEMS = (4, 5, 6, 7, 8)
-MEMO = 200_000
+MEMO = 400_000
 
 #: Terms for groups of people; a term is swapped for the next one of its line.
 IDENTITY = (
@@ -84,30 +85,65 @@ class Model:
 
     def __init__(self, names: list[str], weights: np.ndarray | None = None, bias: float = 0.0):
         self.at = {f: i for i, f in enumerate(names)}
-        self.weights, self.bias = [0.0] * len(names) if weights is None else list(map(float, weights)), bias
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.heads = {f.rstrip("*")[: STEMS[0]] for f in names}
+        self.weights, self.bias = np.zeros(len(names)) if weights is None else weights, bias
         #: Pairs of training texts whose scores should agree: mentions swapped, mentions put in.
         self.pairs = (0, 0)
+        self.forget()
 
-    def known(self, word: str) -> tuple[int, ...]:
-        found = self.memo.get(word)
-        if found is None:
-            found = tuple(i for f in features_of(word) if (i := self.at.get(f)) is not None)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+    def forget(self) -> None:
+        """Words get numbers as they are seen: 0 without known features, else the row of ``rows`` that lists them, -1 after the last."""
+        self.numbers: dict[str, int] = {}
+        self.rows, self.used = np.full((1024, 1 + len(STEMS)), -1, np.int32), 1
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "rows", "used")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def known(self, word: str) -> list[int]:
+        return [i for f in features_of(word) if (i := self.at.get(f)) is not None]
+
+    def number(self, word: str) -> None:
+        found = self.known(word) if word[: STEMS[0]] in self.heads else []
+        self.numbers[word] = self.used if found else 0
+        if found:
+            if self.used == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.full_like(self.rows, -1)))
+            self.rows[self.used, : len(found)] = found
+            self.used += 1
 
     def values(self, counts: Counter) -> dict[int, float]:
+        """The features of one text's word counts."""
         total: dict[int, int] = {}
         for w, n in counts.items():
             for i in self.known(w):
                 total[i] = total.get(i, 0) + n
         return {i: log1p(n) for i, n in total.items()}
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The score of each text: words become numbers, and all texts' features are counted at once."""
+        if len(self.numbers) > MEMO:
+            self.forget()
+        width, places = max(1, len(self.at)), [np.zeros(0, np.int64)]
+        for owners, parts in portions(texts):
+            words = [WORD.findall(t.lower()) for t in parts]
+            flat = list(chain.from_iterable(words))
+            for w in {w for w in flat if w not in self.numbers}:
+                self.number(w)
+            at = np.fromiter(map(self.numbers.__getitem__, flat), np.int32, len(flat))
+            doc = np.repeat(np.array(owners, np.int64), np.fromiter(map(len, words), np.int64, len(words)))
+            found = self.rows[at[at > 0]]
+            places.append((doc[at > 0, None] * width + found)[found >= 0])
+        keys, counts = np.unique(np.concatenate(places), return_counts=True)
+        doc, feature = np.divmod(keys, width)
+        z = self.bias + np.bincount(doc, self.weights[feature] * np.log1p(counts), len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[i] * v for i, v in self.values(counted(text)).items())
-        return 1 / (1 + exp(-min(40.0, max(-40.0, z))))
+        return float(self.scores([text])[0])
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int) -> tuple[DataFrame, dict[int, int]]:
@@ -226,8 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = np.log(max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))) - np.log(seen[1] / seen[0])
     kinds = found.column("pair").to_numpy()
     model.pairs = (int((kinds == 1).sum()), int((kinds == 2).sum()))
-    weights, model.bias = train(y, sparse(found.column("i"), found.column("v")), diff, len(model.at), penalty, prior=float(prior))
-    model.weights = weights.tolist()
+    model.weights, model.bias = train(y, sparse(found.column("i"), found.column("v")), diff, len(model.at), penalty, prior=float(prior))
     return model
 
 
@@ -242,7 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "held_out": batch.column(1), "score": [shared.value.score(t) for t in batch.column(2).to_pylist()]}
+        return {"id": batch.column(0), "held_out": batch.column(1), "score": shared.value.scores(batch.column(2).to_pylist())}
 
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col))
     out = map_arrow(rows, run, f"id {kind}, held_out boolean, score double")
@@ -254,7 +289,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([shared.value.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+        return batch.filter(pa.array(shared.value.scores(batch.column(at).to_pylist()) < 0.5))
 
     return map_arrow(docs, run, docs.schema)
 
